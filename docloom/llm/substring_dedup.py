@@ -4,7 +4,7 @@ Every window (LENGTH bytes at a place) has one anchor: of the K-byte strings ins
 the first on ties. Equal windows have equal anchors at equal places, so each window needs comparing only with windows of
 the same anchor, and a window is met under its anchor alone.
 
-1. Anchors (about one in 31 bytes) are counted by hash, with partial sums; those of one text alone, once, are done.
+1. Anchors (about one in 35 bytes) are counted by hash, with partial sums; those of one text alone, once, are done.
 2. A document ships, for each anchor left, the fragment of bytes that its windows span. Anchors held more than SALT
    times are dealt over shards by a hash of the document.
 3. A shard builds a suffix array of its fragments: Larsson-Sadakane refinement in numpy (ranks by the first 8 bytes,
@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, partitions, runs, utf8
 
-LENGTH, K, SALT, SHARD_BYTES = 100, 40, 4096, 1 << 20
+LENGTH, K, SALT, SHARD_BYTES = 100, 32, 4096, 1 << 19
 _B = 0x9E3779B97F4A7C15
 _ALL = 2**64 - 1
 
@@ -99,11 +100,13 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, k: int =
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, bounds) of stretches of rows of a batch."""
+    """(first row, last row, bytes, bounds) of stretches of rows of a batch; a binary column holds packed texts."""
     data, starts, ends = utf8(batch.column(column))
-    for i, j in runs(starts, ends, 1 << 20):
-        part = np.concatenate([data[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())])
-        yield i, j, part, np.concatenate([[0], np.cumsum(ends[i:j] - starts[i:j])])
+    packed = pa.types.is_binary(batch.column(column).type)
+    for i, j in runs(starts, ends, 1 << 19 if packed else 1 << 20):
+        parts = [data[a:b].tobytes() for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]
+        parts = list(map(zstandard.ZstdDecompressor().decompress, parts)) if packed else parts
+        yield i, j, np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -115,11 +118,12 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.
     key = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
     cut = (8 * (8 - left)).astype(np.uint64)
     key = np.where(left == 8, key, (key >> cut) << cut)
-    order = np.argsort(key, kind="stable")
-    # of suffixes with equal bytes, one that ends sooner is less
+    order = np.argsort(key)
     sorted_key, sorted_left = key[order], left[order]
-    fix = np.lexsort((sorted_left, sorted_key)) if (sorted_left < 8).any() else slice(None)
-    order, sorted_key, sorted_left = order[fix], sorted_key[fix], sorted_left[fix]
+    if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_left[1:] != sorted_left[:-1])).any():
+        # bytes 0 look like an end: of suffixes with equal bytes, one that ends sooner is less
+        fix = np.lexsort((sorted_left, sorted_key))
+        order, sorted_key, sorted_left = order[fix], sorted_key[fix], sorted_left[fix]
     new = np.ones(n, bool)
     new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_left[1:] != sorted_left[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -136,7 +140,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.
         inside = nxt < ends[of]
         second = np.where(inside, rank[np.minimum(nxt, n)], -1)
         by = (start[at].astype(np.uint64) << np.uint64(32)) | (second + 1).astype(np.uint64)
-        turn = np.argsort(by, kind="stable")
+        turn = np.argsort(by)
         order[at], by = of[turn], by[turn]
         fresh = np.ones(len(at), bool)
         fresh[1:] = by[1:] != by[:-1]
@@ -147,19 +151,23 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.
     return order
 
 
-def kasai(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def kasai(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, order: np.ndarray, depth: int = LENGTH, steps: np.ndarray | None = None) -> np.ndarray:
     """Common prefix, `depth` at most, of each suffix in the array with the one before it. begins, ends: of fragments.
 
-    In text order a suffix shares at least one byte less than the suffix a byte before it; all fragments step together."""
+    In text order a suffix shares at least one byte less than the suffix a byte before it; all fragments step together,
+    eight bytes at a look. steps: how many suffixes of each fragment are asked for (others are given 0)."""
     n, rank = len(data), np.empty(len(data), np.int64)
     rank[order] = np.arange(n)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     sizes = ends - begins
-    turn = np.argsort(-sizes, kind="stable")
+    steps = sizes if steps is None else steps
+    turn = np.argsort(-steps, kind="stable")
     begin, end, shared = begins[turn], ends[turn], np.zeros(len(begins), np.int64)
     end_of = np.repeat(ends, sizes)
-    live, out = np.searchsorted(-sizes[turn], -np.arange(int(sizes.max())), side="left"), np.zeros(n, np.int64)
+    words = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(16, np.uint8)]), (n + 8, 8), (1, 1))
+    words = np.ascontiguousarray(words).view("<u8").ravel()
+    live, out = np.searchsorted(-steps[turn], -np.arange(int(steps.max())), side="left"), np.zeros(n, np.int64)
     rank_of, old = np.append(rank, n), np.full(len(begins), -1)
     for t, m in enumerate(live.tolist()):
         i = begin[:m] + t
@@ -171,9 +179,10 @@ def kasai(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, order: np.ndar
         h = np.minimum(h, most)
         go = np.nonzero(h < most)[0]
         while len(go):
-            go = go[data[i[go] + h[go]] == data[j[go] + h[go]]]
-            h[go] += 1
-            go = go[h[go] < most[go]]
+            x = words[i[go] + h[go]] ^ words[j[go] + h[go]]
+            equal = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3  # bytes before the first that differs
+            h[go] = np.minimum(h[go] + equal, most[go])
+            go = go[(equal == 8) & (h[go] < most[go])]
         shared[:m], old[:m] = h, j
         out[rank[i]] = h
     return out
@@ -189,7 +198,7 @@ def _repeats(dealt: np.ndarray, doc: np.ndarray, start: np.ndarray, raw: list[by
     data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
     begins, end_of = ends - sizes, np.repeat(ends, sizes)
     order = suffix_array(data, end_of, length)
-    group = np.cumsum(kasai(data, begins, ends, order, length) < length)
+    group = np.cumsum(kasai(data, begins, ends, order, length, sizes - length + 1) < length)
     at = np.nonzero(end_of[order] - order >= length)[0]
     fragment = np.repeat(np.arange(len(raw)), sizes)[order[at]]
     offset, group = order[at] - begins[fragment], group[at]
@@ -259,10 +268,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(take), pa.array(place - bounds[row]), batch.column(1).take(take)], ["anchor", "doc", "place", "of"])
 
     found = own.select("doc", F.xxhash64("text").alias("of"), "text").mapInArrow(find, f"anchor long, doc {kind}, place long, of long")
-    held = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("of").alias("a"), F.max("of").alias("b"), F.min("place").alias("c"), F.max("place").alias("d"))
-    shared = held.where("a != b or c != d").select("anchor", F.ceil(F.col("n") / SALT).cast("long").alias("cells"))
+    # the place of an anchor in a text: equal in exact copies alone
+    held = found.select("anchor", F.xxhash64("of", "place").alias("x")).groupBy("anchor").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+    shared = held.where("a != b").select("anchor", F.ceil(F.col("n") / SALT).cast("long").alias("cells"))
     # an anchor that very many documents hold: both sides are plain exchanges, which AQE splits
-    of_doc = found.select("anchor", "doc", "place").join(shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("place", "cells")).alias("places"))
+    of_doc = found.select("anchor", "doc").join(shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("anchor", "cells")).alias("held"))
     stand = own.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc").alias("doc")).select("doc")
     wanted = of_doc.join(stand.hint("shuffle_hash"), "doc", "left_semi")
 
@@ -271,18 +281,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, lists, marks = batch.column(0), batch.column(2), batch.column(3).to_numpy().view(np.uint64)
             at = lists.offsets.to_numpy().astype(np.int64)
             at, flat = at - at[0], lists.flatten()
-            places, cells = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            named, cells = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
             for i, j, data, bounds in _texts(batch, 1):
                 h, place, first, last = anchors(data, bounds, length, k)
-                want = np.repeat(bounds[:-1], np.diff(at[i : j + 1])) + places[at[i] : at[j]]
-                turn = np.argsort(want, kind="stable")
-                want, cell = want[turn], cells[at[i] : at[j]][turn]
+                row = np.searchsorted(bounds, place, side="right") - 1
+                want = mix64(named[at[i] : at[j]] + np.repeat(np.arange(j - i), np.diff(at[i : j + 1])).astype(np.uint64) * np.uint64(_B))
                 if not len(want) or not len(place):
                     continue
-                spot = np.minimum(np.searchsorted(want, place), len(want) - 1)
-                kept = np.nonzero(want[spot] == place)[0]
-                h, place, first, last, cell = h[kept], place[kept], first[kept], last[kept], cell[spot[kept]].astype(np.uint64)
-                row = np.searchsorted(bounds, place, side="right") - 1
+                turn = np.argsort(want)
+                want, cell, here = want[turn], cells[at[i] : at[j]][turn], mix64(h + row.astype(np.uint64) * np.uint64(_B))
+                spot = np.minimum(np.searchsorted(want, here), len(want) - 1)
+                kept = np.nonzero(want[spot] == here)[0]
+                h, place, first, last, row, cell = h[kept], place[kept], first[kept], last[kept], row[kept], cell[spot[kept]].astype(np.uint64)
                 text, seen, raw = data.tobytes(), set(), []
                 for r, a, b in zip(row.tolist(), first.tolist(), last.tolist()):
                     piece = text[a : b + length]
@@ -294,7 +304,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     o = slice(s, s + 20_000)
                     yield pa.RecordBatch.from_arrays([pa.array(h[o].view(np.int64)), pa.array(salt[o].astype(np.int32)), pa.array(cell[o] > 1), ids.take(pa.array(row[o] + i)), pa.array(start[o]), pa.array(windows[o]), pa.array(raw[o], pa.binary())], ["anchor", "salt", "dealt", "doc", "start", "windows", "bytes"])
 
-    fragments = own.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "places", F.xxhash64("doc").alias("mark")).mapInArrow(ship, FRAGMENT.format(id=kind))
+    fragments = _packed(own).join(wanted.hint("shuffle_hash"), "doc").select("doc", "z", "held", F.xxhash64("doc").alias("mark")).mapInArrow(ship, FRAGMENT.format(id=kind))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "first", "last", "x", "y"]
@@ -350,6 +360,18 @@ def _own(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(f"doc is not null and octet_length(text) >= {length}")
 
 
+def _packed(own: DataFrame) -> DataFrame:
+    """(doc, z): texts compressed for the one exchange that both joins read."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data, starts, ends = utf8(batch.column(1))
+            for i, j in runs(starts, ends, 4 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([press.compress(data[a:b].tobytes()) for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())], pa.binary())], ["doc", "z"])
+
+    return own.mapInArrow(pack, f"doc {own.schema['doc'].dataType.simpleString()}, z binary")
+
+
 def _kept(first: np.ndarray, last: np.ndarray, size: int, length: int) -> tuple[list[tuple[int, int]], int, int]:
     """(stretches of bytes that stay, bytes removed, maximal runs removed) of a text with these repeated windows."""
     turn = np.argsort(first, kind="stable")
@@ -371,11 +393,10 @@ def _spliced(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -
             at = lists.offsets.to_numpy().astype(np.int64)
             at, flat = at - at[0], lists.flatten()
             first, last = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            data, starts, ends = utf8(batch.column(1))
-            for i, j in runs(starts, ends):
-                rows = []
-                for r in range(i, j):
-                    text = data[starts[r] : ends[r]].tobytes()
+            for i, j, data, bounds in _texts(batch, 1):
+                rows, whole = [], data.tobytes()
+                for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), i):
+                    text = whole[a:b]
                     parts, removed, spans = _kept(first[at[r] : at[r + 1]], last[at[r] : at[r + 1]], len(text), length)
                     kept = b"".join(text[a:b] for a, b in parts)
                     rows.append((removed, spans, hashlib.sha256(kept).hexdigest(), "".join(text[a:b].decode("utf-8", "ignore") for a, b in parts)))
@@ -383,7 +404,7 @@ def _spliced(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d, pa.string())], ["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     spans = repeated_spans(docs, id_col, text_col, length, k)
-    return own.join(spans.hint("shuffle_hash"), "doc").select("doc", "text", "spans").mapInArrow(splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return _packed(own).join(spans.hint("shuffle_hash"), "doc").select("doc", "z", "spans").mapInArrow(splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
