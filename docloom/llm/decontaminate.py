@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, BLOCK_CHARS = 0.05, 2_000_000
+RATE, BLOCK_CHARS = 0.08, 2_000_000
 
 
 def normal(text: str | None) -> str:

@@ -285,7 +285,7 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, coun
         have = order > j
         x[have, most + j] = signed(take(at[have], 8), 8)
         at[have] += 8
-    coef, shift = np.zeros((len(of), max(1, most)), np.int64), np.zeros(len(of), np.int64)
+    coef, shift = np.zeros((len(of), max(len(FIXED_COEF), most)), np.int64), np.zeros(len(of), np.int64)
     for k, c in FIXED_COEF.items():
         rows_k = ~lpc & (order == k)
         coef[rows_k, :k] = c[:-1]
