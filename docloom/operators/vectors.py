@@ -57,7 +57,9 @@ def cosine(a: Column, b: Column) -> Column:
 def centroid(chunks: DataFrame) -> DataFrame:
     """(doc_id, centroid): means by dimension, with partial sums."""
     first = chunks.select(F.size("embedding").alias("n")).first()
-    dims = range(first.n if first else 0)
+    if first is None:
+        return chunks.select("doc_id", F.array().cast("array<double>").alias("centroid"))
+    dims = range(first.n)
     return chunks.groupBy("doc_id").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in dims]).select("doc_id", F.array(*[F.col(f"d{i}") for i in dims]).alias("centroid"))
 
 
