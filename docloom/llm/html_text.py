@@ -187,8 +187,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[list[tuple[str, boo
 
     out = []
     for _ in range(n):
-        top = [f() for f in rng.sample([menu, header, ad, notice, form, menu], rng.randint(1, 5))]
-        box, mid, low = rng.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div {name('content', 'post', 'entry', 'article-body', 'story', 'main-content', 'post-body', 'text', 'page')}>", "</div>"), ('<div id="main"><div>', "</div></div>"), ("<section>", "</section>"), ("<div>", "</div>")]), [], []
+        top = [f() for f in rng.sample([menu, header, ad, notice, form, menu], rng.choice([0, 0, 1, 2, 3, 4, 5]))]
+        box, mid, low = rng.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div {name('content', 'post', 'entry', 'article-body', 'story', 'main-content', 'post-body', 'text', 'page')}>", "</div>"), ('<div id="main"><div>', "</div></div>"), ("<section>", "</section>"), ("<div>", "</div>"), ("", "")]), [], []
         if rng.random() < 0.85:
             title = f"<h1>{words(1, 12)}</h1>"
             mid.append([(f"<header>{title}</header>" if "article" in box[0] and rng.random() < 0.15 else title, True)])
@@ -205,8 +205,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[list[tuple[str, boo
                 mid.append(rng.choice([ad, share, notice, form, side, menu])())
         if rng.random() < 0.25:
             (mid if rng.random() < 0.5 else low).append(comments())
-        low += [f() for f in rng.sample([side, ad, share, footer, comments, form, menu, notice], rng.randint(0, 3))]
-        low.append(footer() if rng.random() < 0.85 else [])
+        low += [f() for f in rng.sample([side, ad, share, footer, comments, form, menu, notice], rng.choice([0, 0, 1, 2, 3]))]
+        low.append(footer() if rng.random() < 0.7 else [])
         flat = lambda x: [p for part in x for p in part]
         out.append([("<!DOCTYPE html><html><head><title>t</title></head><body>", False), *flat(top), (box[0], False), *flat(mid), (box[1], False), *flat(low), ("</body></html>", False)])
     return out
