@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import mix64, runs, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, SEED, LONG, KEEP = 2.0, 1, 4096, 200_000
+ALPHA, SEED, LONG, KEEP = 2.0, 1, 4096, 80_000
 SPACE = "▁"
 #: In the numbers of a text's characters, spaces are U+2581, and U+D800, which no text holds, stands for a U+2581 of the text.
 _SPACE, _OWN = 0x2581, 0xD800
@@ -254,12 +254,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
         own = vocabulary(model, alpha)
         for batch in batches:
             _, starts, ends = utf8(batch.column(text_at))
-            for i, j in runs(starts, ends):
+            for i, j in runs(starts, ends, 1 << 19):
                 part = batch.slice(i, j - i)
                 texts = part.column(text_at).to_pylist()
                 offsets, ids = sample(texts, part.column(key_at).to_pylist(), own, seed)
                 lists = pa.ListArray.from_arrays(pa.array([None if t is None else o for t, o in zip(texts, offsets.tolist())] + [int(offsets[-1])], pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*columns, "pieces"])
+        own.clear()  # the worker may live on in other stages
 
     return docs.select(columns).mapInArrow(segment, docs.select(columns).schema.add("pieces", T.ArrayType(T.IntegerType())))
 
