@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch: it is held several times over, by the JVM and by the Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_BYTES at most (a row alone may be larger); for df.transform."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key).rstrip("b") or 0) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(function, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without copying: (bytes, starts, ends). A null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 RATE, BLOCK_CHARS = 0.08, 2_000_000
 
 
@@ -132,7 +134,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 rest = [[h[c] for h in hits] for c in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(rest[0], pa.int64()), *(pa.array(r, pa.int32()) for r in rest[1:])], ["id", "item_id", "edits", "start", "end"])
 
-        return rows.mapInArrow(match, schema)
+        return rows.transform(in_arrow, match, schema)
 
     parts = [against(b) for b in item_blocks(benchmark, item_col, item_text)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
@@ -148,7 +150,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: f
             for batch in batches:
                 yield batch.filter(pa.array([not (t and found(normal(t))) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        return rows.mapInArrow(keep, rows.schema)
+        return rows.transform(in_arrow, keep, rows.schema)
 
     return reduce(against, item_blocks(benchmark, "item_id", "text"), docs)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, utf8
+from .common import in_arrow, runs, utf8
 
 BLOCK, LPC_ORDER, LPC_BITS, LPC_SHIFT_MAX, RATE, PAD = 512, 4, 10, 9, 8000, 64
 CONSTANT, VERBATIM, FIXED, LPC = 0, 1, 8, 32  # subframe types of the format
@@ -408,7 +408,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 })
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(store, SCHEMA.format(id=kind))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, store, SCHEMA.format(id=kind))
 
 
 def op4_flac(spark, sf_dir: str) -> DataFrame:

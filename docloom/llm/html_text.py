@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 SEED, PAGES, STEPS, WORD_BUCKETS = 11, 500, 160, 1024
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -324,7 +326,7 @@ def extract(pages: DataFrame, html_col: str = "html", model=None) -> DataFrame:
                 part = batch.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([of(h) for h in part.column(part.num_columns - 1).to_pylist()], pa.string())], [*columns, "text"])
 
-    return pages.select(*columns, html_col).mapInArrow(main_text, pages.select(columns).schema.add("text", "string"))
+    return pages.select(*columns, html_col).transform(in_arrow, main_text, pages.select(columns).schema.add("text", "string"))
 
 
 def op10_html_crf(spark, sf_dir: str) -> DataFrame:

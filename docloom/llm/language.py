@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 BUCKETS, SMOOTH, TEMPER, MAX_LANGS, PIECE = 1 << 16, 0.1, 200.0, 512, 1 << 18
 #: Labelled rows that train the model: about so many, taken by a hash of the id. A bound of training alone.
 MAX_TRAINING = 200_000
@@ -92,7 +94,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
 
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sums = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = known.transform(in_arrow, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
     n = np.zeros((BUCKETS + 1, len(langs)))
     if langs:
@@ -125,7 +127,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 best[k], sure[k] = langs[int(p.argmax())], p.max() / p.sum()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(sure)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select(columns).mapInArrow(score, docs.select(columns).schema.add("lang_pred", "string").add("score", "double"))
+    return docs.select(columns).transform(in_arrow, score, docs.select(columns).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def _held_out(doc_id: Column) -> Column:

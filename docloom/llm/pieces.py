@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, runs, utf8
+from .common import in_arrow, mix64, runs, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED, LONG, KEEP = 2.0, 1, 4096, 80_000
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*columns, "pieces"])
         own.clear()  # the worker may live on in other stages
 
-    return docs.select(columns).mapInArrow(segment, docs.select(columns).schema.add("pieces", T.ArrayType(T.IntegerType())))
+    return docs.select(columns).transform(in_arrow, segment, docs.select(columns).schema.add("pieces", T.ArrayType(T.IntegerType())))
 
 
 def decoded(docs: DataFrame, pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:
@@ -278,7 +278,7 @@ def decoded(docs: DataFrame, pieces_col: str = "pieces", model: str = MODEL) ->
                 texts = [None if x is None else decode(x, own) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
 
-    return docs.select(columns).mapInArrow(join, docs.select(columns).schema.add("decoded", "string"))
+    return docs.select(columns).transform(in_arrow, join, docs.select(columns).schema.add("decoded", "string"))
 
 
 def op2_piece_lattice(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .language import bounded
 
 BUCKETS, DIM, EPOCHS, RATE, SEED, PIECE, THRESHOLD = 1 << 15, 8, 6, 0.5, 7, 1 << 18, 0.3
@@ -113,7 +114,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text_col: str = "text", labe
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in fit([r[1:] for r in rows])], ["v", "o", "b"])
 
     known = bounded(labelled.where(F.col(label_col).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")), "key", most)
-    rows = known.select("key", "text", "label").mapInArrow(sparse, "key string, label int, at binary, w binary").repartition(1).mapInArrow(learn, "v binary, o binary, b binary").collect()
+    rows = known.select("key", "text", "label").transform(in_arrow, sparse, "key string, label int, at binary, w binary").repartition(1).transform(in_arrow, learn, "v binary, o binary, b binary").collect()
     if not rows:
         return fit([])
     v, o, b = (np.frombuffer(x, np.float32) for x in rows[0])
@@ -138,7 +139,7 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                 p[k] = 1 / (1 + np.exp(-np.clip(total / max(1, n) + float(base[1] - base[0]), -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
-    return docs.select(columns).mapInArrow(of, docs.select(columns).schema.add("score", "double"))
+    return docs.select(columns).transform(in_arrow, of, docs.select(columns).schema.add("score", "double"))
 
 
 def op8_quality_embeddings(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, partitions, runs, utf8
+from .common import checkpointed, in_arrow, mix64, partitions, runs, utf8
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *_arrow(fps)], ["id", *_names(lanes)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, {_schema(_names(lanes))}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, of, f"id {kind}, {_schema(_names(lanes))}")
 
 
 def _schema(names: list[str]) -> str:
@@ -242,8 +242,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
         yield from by_group(batches, 2, done)
 
-    shards = distinct.select(names).mapInArrow(deal, f"leaf int, cell int, home boolean, {_schema(names)}")
-    met = shards.repartition(partitions(spark), "leaf", "cell").sortWithinPartitions("leaf", "cell").mapInArrow(meet, _schema(ends))
+    shards = distinct.select(names).transform(in_arrow, deal, f"leaf int, cell int, home boolean, {_schema(names)}")
+    met = shards.repartition(partitions(spark), "leaf", "cell").sortWithinPartitions("leaf", "cell").transform(in_arrow, meet, _schema(ends))
     return met.distinct()
 
 

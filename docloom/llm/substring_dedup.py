@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, runs, utf8
+from .common import in_arrow, mix64, partitions, runs, utf8
 
 LENGTH, K, SALT, SHARD_BYTES = 100, 32, 4096, 1 << 19
 _B = 0x9E3779B97F4A7C15
@@ -267,7 +267,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(take), pa.array(place - bounds[row]), batch.column(1).take(take)], ["anchor", "doc", "place", "of"])
 
-    found = own.select("doc", F.xxhash64("text").alias("of"), "text").mapInArrow(find, f"anchor long, doc {kind}, place long, of long")
+    found = own.select("doc", F.xxhash64("text").alias("of"), "text").transform(in_arrow, find, f"anchor long, doc {kind}, place long, of long")
     # the place of an anchor in a text: equal in exact copies alone
     held = found.select("anchor", F.xxhash64("of", "place").alias("x")).groupBy("anchor").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
     shared = held.where("a != b").select("anchor", F.ceil(F.col("n") / SALT).cast("long").alias("cells"))
@@ -304,7 +304,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     o = slice(s, s + 20_000)
                     yield pa.RecordBatch.from_arrays([pa.array(h[o].view(np.int64)), pa.array(salt[o].astype(np.int32)), pa.array(cell[o] > 1), ids.take(pa.array(row[o] + i)), pa.array(start[o]), pa.array(windows[o]), pa.array(raw[o], pa.binary())], ["anchor", "salt", "dealt", "doc", "start", "windows", "bytes"])
 
-    fragments = _packed(own).join(wanted.hint("shuffle_hash"), "doc").select("doc", "z", "held", F.xxhash64("doc").alias("mark")).mapInArrow(ship, FRAGMENT.format(id=kind))
+    fragments = _packed(own).join(wanted.hint("shuffle_hash"), "doc").select("doc", "z", "held", F.xxhash64("doc").alias("mark")).transform(in_arrow, ship, FRAGMENT.format(id=kind))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "first", "last", "x", "y"]
@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at, w = pa.array(start[ff] + oo), begins[ff] + oo
                     yield pa.RecordBatch.from_arrays([known.take(pa.array(doc[ff])), at, at, pa.array(x[w].view(np.int64)), pa.array(y[w].view(np.int64))], names)
 
-    met = fragments.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(sort, f"doc {kind}, first long, last long, x long, y long")
+    met = fragments.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").transform(in_arrow, sort, f"doc {kind}, first long, last long, x long, y long")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -353,7 +353,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(rest.columns[:3], ["doc", "first", "last"])
 
     spread = met.repartition(n, F.coalesce("x", F.xxhash64("doc", "first"))).sortWithinPartitions(F.asc_nulls_first("x"), "y", "doc", "first")
-    return spread.mapInArrow(merge, f"doc {kind}, first long, last long").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return spread.transform(in_arrow, merge, f"doc {kind}, first long, last long").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -369,7 +369,7 @@ def _packed(own: DataFrame) -> DataFrame:
             for i, j in runs(starts, ends, 4 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([press.compress(data[a:b].tobytes()) for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())], pa.binary())], ["doc", "z"])
 
-    return own.mapInArrow(pack, f"doc {own.schema['doc'].dataType.simpleString()}, z binary")
+    return own.transform(in_arrow, pack, f"doc {own.schema['doc'].dataType.simpleString()}, z binary")
 
 
 def _kept(first: np.ndarray, last: np.ndarray, size: int, length: int) -> tuple[list[tuple[int, int]], int, int]:
@@ -404,7 +404,7 @@ def _spliced(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d, pa.string())], ["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     spans = repeated_spans(docs, id_col, text_col, length, k)
-    return _packed(own).join(spans.hint("shuffle_hash"), "doc").select("doc", "z", "spans").mapInArrow(splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return _packed(own).join(spans.hint("shuffle_hash"), "doc").select("doc", "z", "spans").transform(in_arrow, splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
