@@ -81,6 +81,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.
         return vectors, out, base
     share = np.bincount([y for _, _, y in rows], minlength=2) + 0.5
     base[:] = np.log(share / share.sum())
+    whole = vectors.view(f"V{4 * DIM}").ravel()  # a vector as one item: taken and put back at once
     scale = np.float32(np.sqrt(BUCKETS))  # features of an averaged document are tiny: their vectors move faster
     for e in range(EPOCHS):
         rate = np.float32(RATE * (1 - e / EPOCHS))
@@ -88,14 +89,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.
             at, w, y = rows[k]
             if not len(at):
                 continue
-            hidden = w @ vectors[at]
+            own = whole[at].view(np.float32).reshape(-1, DIM)
+            hidden = w @ own
             z = hidden @ out + base
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1
             back = out @ p
             out -= rate * np.outer(hidden, p)
-            vectors[at] -= (rate * scale * 0.2) * w[:, None] * back
+            own -= np.multiply.outer((rate * scale * 0.2) * w, back)
+            whole[at] = own.view(whole.dtype).ravel()
     return vectors, out, base
 
 
