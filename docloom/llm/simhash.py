@@ -15,6 +15,11 @@ at most `radius` bits apart are then found exactly:
   share of the sample promises more than HOT fingerprints is dealt over cells: stored once, queried in all its cells.
 * A task gives back a spanning forest of its links, not all pairs; components follow by large-star and small-star steps.
 
+The pipeline's near copies (`near_copies`) take those links, of a wider radius, as candidates alone: what chains of
+candidates connect is a family, and within a family two texts are linked if the Jaccard similarity of their sets of
+shingles, counted exactly, is at least SIMILAR. Families are cut into blocks of bounded size and each pair of blocks is
+a task's group, so no family is too large for a task, but each member of one of B blocks is sent to B - 1 groups.
+
 Defined results: a null or blank text has no shingle and fingerprint zero, and links like any other. A text of fewer
 words than a shingle is one shingle. Null ids don't count for the smallest id (a group of null ids alone has none).
 Repeated rows are equal fingerprints. Empty tables give no rows. Other columns don't matter.
@@ -37,6 +42,8 @@ from .components import components
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that each tree is built on; a leaf is split until it would hold about LEAF of all; depth at most DEPTH.
 SAMPLE, LEAF, DEPTH, HOT = 8192, 1024, 12, 16384
+#: Near copies: the least Jaccard similarity as a fraction; members and bytes of text in one block of a family, about.
+SIMILAR, BLOCK, BLOCK_BYTES = (4, 5), 1024, 8 << 20
 
 
 def _hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -212,8 +219,10 @@ def _unique(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[:, None], at
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct: (fp0, ...). (u0, ..., v0, ...): links that connect what chains of at most `radius` bits connect."""
+def links(distinct: DataFrame, radius: int = RADIUS, reach: int = 0) -> DataFrame:
+    """distinct: (fp0, ...). (u0, ..., v0, ...): links that connect what chains of at most `radius` bits connect.
+
+    With a `reach` over the radius, pairs that are up to `reach` bits apart and meet in a band link too."""
     spark, names = distinct.sparkSession, [c for c in distinct.columns if c.startswith("fp")]
     lanes, cut, n = len(names), bands(radius, len(names)), distinct.count()
     few = distinct.select(names).orderBy(F.xxhash64(*names)).limit(min(SAMPLE, max(1, n // 4))).collect()
@@ -237,7 +246,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             home = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
             fps = np.concatenate([_numpy(p.columns[3:]) for p in parts])
-            u, v = _forest(fps[home], fps[~home], radius)
+            u, v = _forest(fps[home], fps[~home], max(radius, reach))
             return pa.RecordBatch.from_arrays([*_arrow(u), *_arrow(v)], ends)
 
         yield from by_group(batches, 2, done)
@@ -285,8 +294,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Near copies of a corpus: five words a shingle, 128 bits. Shingle sets of Jaccard similarity 0.8 (cosine 0.89) differ
-#: in 128 * acos(0.89) / pi = 19 bits on average, give or take 4; unrelated texts in 64, give or take 6.
-CORPUS = {"width": 5, "lanes": 2, "radius": 22}
+#: in 128 * acos(0.89) / pi = 19 bits on average, give or take 4; unrelated texts in 64, give or take 6. Bands are those
+#: of the radius, which they keep exactly; of pairs up to `reach` bits apart each band meets a fifth at least.
+CORPUS = {"width": 5, "lanes": 2, "radius": 22, "reach": 32}
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The set of the text's shingles, as sorted hashes."""
+    return np.unique(_hashes(text.lower().split(), width))
+
+
+def set_print(hashes: np.ndarray, lanes: int) -> tuple[int, ...]:
+    """A digest of the set and the lanes of its fingerprint. Of an even number of shingles the first breaks ties, as
+    fingerprints of few shingles would have more zeros than ones else, and lie close without a shingle in common."""
+    out = [xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)]
+    for lane in range(lanes):
+        of = mix64(hashes + np.uint64(lane)) if lane else hashes
+        out.append(int.from_bytes(np.packbits(_ones(of) * 2 + _ones(of[:1]) > len(of)).tobytes(), "big") if len(of) else 0)
+    return tuple(out)
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, width: int, lanes: int) -> DataFrame:
+    """(id, key, size, set, fp0, ...): digest and bytes of the text, digest and fingerprint of its set of shingles."""
+    names = ["set", *_names(lanes)]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts, ends = utf8(batch.column(3))
+            for i, j in runs(starts, ends):
+                found = np.array([set_print(shingles(data[a:b].tobytes(), width), lanes) for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())], np.uint64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), *_arrow(found)], ["id", "key", "size", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(text_col).alias("text"))
+    return rows.transform(in_arrow, of, f"id {kind}, key long, size long, {_schema(names)}")
+
+
+def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between sets of Jaccard similarity SIMILAR or more: (member, least member).
+
+    A set is counted against all others by the places of its shingles. Sets of the largest component needn't be: a pair
+    in different components has one outside it."""
+    n, (num, den) = len(sets), SIMILAR
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    owner, last = np.repeat(np.arange(n), sizes)[order], np.cumsum(np.bincount(at))
+    first = np.append(0, last[:-1])
+    parent, todo = np.arange(n), np.ones(n, bool)
+    while True:
+        left = todo & (parent != np.bincount(parent).argmax()) if (~todo).any() else todo
+        if not left.any():
+            break
+        i = int(left.argmax())
+        todo[i] = False
+        mine = at[ends[i] - sizes[i] : ends[i]]
+        lengths = last[mine] - first[mine]
+        places = np.repeat(first[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        both = np.bincount(owner[places], minlength=n)
+        near = np.nonzero(both * (num + den) >= num * (sizes + sizes[i]))[0]
+        _union(parent, np.full(len(near), i), near)
+    moved = np.nonzero(parent != np.arange(n))[0]
+    return moved, parent[moved]
+
+
+def verified(members: DataFrame, width: int) -> DataFrame:
+    """members: (family, blocks, set, text). (u, v): links of sets that connect what chains of similar sets connect."""
+    own = F.pmod(F.xxhash64("family", "set"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), own))
+    dealt = members.withColumns({"own": own, "other": F.explode(others)}).select("family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "set", "text")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.concatenate([p.column(3).to_numpy(zero_copy_only=False) for p in parts])
+            u, v = similar([shingles(t.encode(), width) for p in parts for t in p.column(4).to_pylist()])
+            return ids[u], ids[v]
+
+        held: list = []
+        for pair in by_group(batches, 3, done):
+            held.append(pair)
+            if len(held) == 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
+
+    return dealt.repartition(partitions(members.sparkSession), "family", "a", "b").sortWithinPartitions("family", "a", "b").transform(in_arrow, meet, "u long, v long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 22, lanes: int = 2, reach: int = 32) -> DataFrame:
+    """(id, key, component_id): one row for each row of docs; key is xxhash64 of the text, component_id the smallest id
+    that links of similar texts reach."""
+    names = _names(lanes)
+    node = lambda side: F.struct(*[F.col(f"{side}{k}").alias(n) for k, n in enumerate(names)])
+    prints = checkpointed(set_prints(docs, id_col, text_col, width, lanes))
+    sets = checkpointed(prints.groupBy("set").agg(F.min("id").alias("least"), F.min(F.struct("key", "size")).alias("one"), *[F.min(c).alias(c) for c in names]))
+    near = components(links(checkpointed(sets.select(names).distinct()), radius, reach).select(node("u").alias("u"), node("v").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    # families of equal digests would only be compared together
+    placed = sets.withColumn("node", node("fp")).join(near, "node", "left").select(F.xxhash64(F.coalesce("root", "node")).alias("family"), "set", "one.*")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    families = placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("family", blocks.alias("blocks"))
+    members = checkpointed(placed.join(families, "family").select("family", "blocks", "set", "key"))
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    roots = components(verified(members.join(texts, "key"), width)).select(F.col("u").alias("set"), F.col("v").alias("root"))
+    rooted = sets.select("set", "least").join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("set", "component_id"), "set").select("id", "key", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **of) -> DataFrame:
@@ -294,7 +408,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     An id stays or goes as a whole; of rows that repeat an id and text one stays. Rows without an id stay: no group can
     name them. Rows are looked for twice only if an id occurs twice."""
-    found = checkpointed(near_duplicates(docs, id_col, text_col, **(CORPUS | of)).select("id", "component_id"))
+    found = checkpointed(near_copies(docs, id_col, text_col, **(CORPUS | of)))
     again = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     gone = found.where("id != component_id").select(F.col("id").alias(id_col)).distinct()
     left = docs.join(gone, id_col, "left_anti")

@@ -90,6 +90,37 @@ def test_near_copies_keep_one(spark):
     assert left.columns == docs(spark, rows).columns or set(left.columns) == set(docs(spark, rows).columns)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_copies_equal_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(3)
+    some = lambda n: [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(n)]
+    rows = list(ODD)
+    for i in range(10, 200, 10):
+        base = some(rng.choice([5, 6, 9, 60, 200]))
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            rows.append((i + k, " ".join(w + some(rng.choice([0, 0, len(w) // 8])))))
+    split = lambda t: t.lower().encode().split()
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := split(t or "")) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    stay = {i for g, (i, _) in zip(group, rows) if i is None or i == least[g]}
+    assert {r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()} == stay
+    got = simhash.near_copies(docs(spark, rows)).select("id", "component_id").collect()
+    assert sorted(map(str, ((r.id, r.component_id) for r in got))) == sorted(str((i, least.get(g))) for g, (i, _) in zip(group, rows))
+    assert simhash.near_copies(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_pieces_round_trip_and_reproduce(spark):
     table = docs(spark, ODD)
     found = pieces.decoded(pieces.encode(table))
