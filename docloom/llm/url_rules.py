@@ -22,8 +22,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LIST = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: FP-growth: the share of labelled URLs that a combination must have, and of these the share with the verdict.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-#: Labelled URLs to mine from, about; more are thinned by a hash of the URL. A bound of the model's training alone.
-MAX_LABELLED = 500_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -55,14 +53,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     ))
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, max_labelled=MAX_LABELLED) -> list[tuple[list[str], str, float, float]]:
-    """labelled: (tokens, verdict). Rules (tokens, verdict, confidence, support) for block; the support bounds their number."""
-    n = labelled.count()
-    if not n:
+def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE) -> list[tuple[list[str], str, float, float]]:
+    """labelled: (tokens, verdict). Rules (tokens, verdict, confidence, support) for block; the support bounds their number.
+
+    All rows are mined: FP-growth's trees hold equal lists of tokens once, so their size follows the distinct lists."""
+    if labelled.isEmpty():
         return []
-    share = min(1.0, max_labelled / n)
-    kept = labelled.where(F.pmod(F.xxhash64("tokens", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
-    baskets = kept.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
+    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.col("consequent")[0] == "=block") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = sorted(((sorted(r.antecedent), r.consequent[0][1:], r.confidence, r.support) for r in found.collect()), key=lambda r: (len(r[0]), -r[2], r[0], r[1]))

@@ -250,6 +250,13 @@ def test_url_verdicts(spark):
     assert url_rules.judge(spam, labelled).first().verdict == "block" and url_rules.judge(spam, labelled.limit(0)).first().verdict == "allow"
 
 
+def test_url_rules_are_mined_from_all_labelled_rows(spark):
+    side = "IF(id % 2 = 0, 'spam', 'good')"
+    many = spark.range(600_000).selectExpr(f"concat('http://', {side}, (id DIV 2) % 40, '.org/', id) AS url", f"IF({side} = 'spam', 'block', 'allow') AS verdict")
+    table = spark.createDataFrame([(i, f"http://spam{i}.org/new") for i in range(40)], "page_id long, url string")
+    assert {r.verdict for r in url_rules.judge(table, many).collect()} == {"block"}
+
+
 def test_quality(spark):
     rng = random.Random(7)
     say = lambda bad: " ".join("".join(rng.choice("abcde") for _ in range(5)) + ("###" if bad else "") for _ in range(40))
