@@ -9,7 +9,7 @@ The items are the benchmark's, a query set of its own size and not the corpus's:
 BLOCK_CHARS characters, each with an automaton of bounded size that is broadcast; every block runs against all rows.
 
 Defined results: null or blank items match nothing; null and empty texts match nothing. Equal items with different ids
-are each reported. Repeated rows are reported as often. Empty tables give no rows. Other columns don't matter.
+are each reported; items without an id with a null one. Repeated rows are reported as often. Empty tables give no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ class Matcher:
                     best = (name, edits, max(0, a + end - len(item)), a + end)
             if best:
                 out.append(best)
-        return sorted(out)
+        return sorted(out, key=lambda h: (h[0] is not None, h))
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
@@ -108,7 +108,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[t
     block, size = [], 0
     for row in benchmark.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
         text = normal(row[1])
-        if text and row[0] is not None:
+        if text:
             block.append((row[0], text))
             size += len(text)
             if size >= BLOCK_CHARS:

@@ -184,6 +184,13 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "an item that has no id of its own, twice"), (None, "and another, which is elsewhere"), (4, "an item with an id, of some length")], "item_id long, text string")
+    rows = [(1, "Here is an item that has no id of its own, twice, and an item with an id, of some length."), (2, "nothing"), (3, "and another, which is elsewhere")]
+    assert [(r.id, r.item_id, r.edits) for r in decontaminate.leaks(docs(spark, rows), bench).collect()] == [(1, None, 0), (1, 4, 0), (3, None, 0)]
+    assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), bench).collect()] == [2]
+
+
 def test_flac_round_trip(spark):
     rng = random.Random(4)
     payloads = [b"\0" * 64, bytes(range(256)) * 3, bytes(rng.randrange(256) for _ in range(64 * 19)), (b"x" * 255 + b"\xff") * 9, bytes([128] * 200 + [0] + [128] * 55) * 3]
