@@ -406,12 +406,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **of) -> DataFrame:
     """docs with one document of each group of near copies, the one with the least id.
 
-    An id stays or goes as a whole; of rows that repeat an id and text one stays. Rows without an id stay: no group can
+    Of rows that repeat an id each stays or goes by its own text; of rows that repeat an id and text one stays. Rows without an id stay: no group can
     name them. Rows are looked for twice only if an id occurs twice."""
     found = checkpointed(near_copies(docs, id_col, text_col, **(CORPUS | of)))
     again = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    gone = found.where("id != component_id").select(F.col("id").alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti")
+    gone = found.where("id != component_id").select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    left = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left_anti")
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(left.where(F.col(id_col).isNull())) if again else left
 
 

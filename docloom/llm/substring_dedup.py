@@ -18,8 +18,8 @@ Exact copies of a text never ship fragments: the copy with the least id stands f
 more are repeats from end to end.
 
 Defined results: a null text has no bytes. Texts shorter than LENGTH keep all. Documents that repeat an id and text are
-one document, given back as often; an id with different texts is not a document, its rows share their spans. Rows
-without an id are left whole and are nobody's earlier copy. Empty tables give no rows. Other columns don't matter.
+one document, given back as often; an id with different texts names a document for each, in the order of their digests
+and between the ids before and after. Rows without an id are left whole and are nobody's earlier copy. Empty tables give no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import in_arrow, mix64, partitions, runs, utf8
 
@@ -407,18 +408,37 @@ def _spliced(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -
     return _packed(own).join(spans.hint("shuffle_hash"), "doc").select("doc", "z", "spans").transform(in_arrow, splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
+def _name(docs: DataFrame, id_col: str, text_col: str) -> Column | None:
+    """What names a row's document if some id has different texts: the id with a digest of the text. Else the id does."""
+    ident, digest = F.col(id_col), F.xxhash64(text_col)
+    if docs.where(ident.isNotNull()).groupBy(ident).agg((F.min(digest) != F.max(digest)).alias("differ")).where("differ").isEmpty():
+        return None
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)  # as strings of equal length they keep their order
+    ordered = F.lpad((ident.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0") if whole else ident.cast("string")
+    return F.concat(ordered, F.lit("\0"), F.md5(F.coalesce(text_col, F.lit(""))))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
-    """docs' rows as (doc, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is null where a text stays as it is.
+    """docs' rows as (doc, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is null where a text stays as it is."""
+    name, ident, text = _name(docs, id_col, text_col), F.col(id_col), F.col(text_col).alias("text")
+    if name is None:
+        return _deduplicated(docs.select(ident.alias("doc"), text), length, k)
+    return _deduplicated(docs.select(ident.alias("id"), name.alias("doc"), text), length, k).drop("doc").withColumnRenamed("id", "doc")
+
+
+def _deduplicated(docs: DataFrame, length: int, k: int = K) -> DataFrame:
+    """docs: (doc, text) or (id, doc, text), where doc names one text. Results have its columns but for the text.
 
     A character that loses some of its bytes goes from `kept` with all of them; the digest is of the bytes."""
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc"), size.alias("n_bytes"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    names = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*names, size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     least = rows.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("stands"))
-    changed = _spliced(docs, id_col, text_col, length, k).dropDuplicates(["doc"])
+    changed = _spliced(docs, "doc", "text", length, k).dropDuplicates(["doc"])
     copy = F.coalesce((F.col("n_bytes") >= length) & (F.col("doc") > F.col("stands")), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
     return rows.join(least, "sha", "left").join(changed, "doc", "left").select(
-        "doc", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        *names, "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
     )
@@ -426,8 +446,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """docs with texts cut by their repeated spans (and chars_col, where there is one, counted again). No row goes."""
-    cut = deduplicated(docs, id_col, text_col, length).where("kept is not null").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept")).dropDuplicates(["__doc"])
-    both = docs.join(cut, F.col(id_col) == F.col("__doc"), "left")
+    name = _name(docs, id_col, text_col)
+    name = F.col(id_col) if name is None else name
+    cut = _deduplicated(docs.select(name.alias("doc"), F.col(text_col).alias("text")), length).where("kept is not null").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept")).dropDuplicates(["__doc"])
+    both = docs.join(cut, name == F.col("__doc"), "left")
     text = F.coalesce("__kept", text_col)
     new = {text_col: text} | ({chars_col: F.when(F.col("__kept").isNull(), F.col(chars_col)).otherwise(F.char_length(text)).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
     return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

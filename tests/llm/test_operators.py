@@ -235,6 +235,17 @@ def test_suffix_dedup_equals_brute_force(spark, salt, monkeypatch):
     assert cut.count() == len(rows) + len(ODD) and cut.columns == docs(spark, rows).columns
 
 
+def test_an_id_with_different_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(120)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, c + a), (-7, c), (5, None), (None, b)]
+    assert {(r.doc_id, r.text) for r in simhash.deduplicated(docs(spark, rows)).collect()} == {*rows} - {(5, a)}
+    cut = substring_dedup.without_repeats(docs(spark, rows))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in cut.collect()))) == sorted(map(str, [(3, a), (5, ""), (5, b), (5, ""), (-7, c), (5, None), (None, b)]))
+    got = sorted((r.doc, r.n_bytes, r.n_removed) for r in substring_dedup.deduplicated(docs(spark, rows)).collect() if r.doc == 5)
+    assert got == sorted([(5, 0, 0), (5, len(b), 0), (5, len(a), len(a)), (5, len(c + a), len(c + a))])
+
+
 def test_language(spark):
     rng = random.Random(6)
     say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
