@@ -18,7 +18,7 @@ at most `radius` bits apart are then found exactly:
 The pipeline's near copies (`near_copies`) take those links, of a wider radius, as candidates alone: what chains of
 candidates connect is a family, and within a family two texts are linked if the Jaccard similarity of their sets of
 shingles, counted exactly, is at least SIMILAR. Families are cut into blocks of bounded size and each pair of blocks is
-a task's group, so no family is too large for a task, but each member of one of B blocks is sent to B - 1 groups.
+a task's group, so no family is too large for a task, but each member of one of B blocks is sent to B groups.
 
 Defined results: a null or blank text has no shingle and fingerprint zero, and links like any other. A text of fewer
 words than a shingle is one shingle. Null ids don't count for the smallest id (a group of null ids alone has none).
@@ -246,10 +246,26 @@ def links(distinct: DataFrame, radius: int = RADIUS, reach: int = 0) -> DataFram
         def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             home = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
             fps = np.concatenate([_numpy(p.columns[3:]) for p in parts])
-            u, v = _forest(fps[home], fps[~home], max(radius, reach))
-            return pa.RecordBatch.from_arrays([*_arrow(u), *_arrow(v)], ends)
-
-        yield from by_group(batches, 2, done)
+            return _forest(fps[home], fps[~home], max(radius, reach))
+
+        def joined(held: list) -> pa.RecordBatch:
+            """One forest for several shards': a large family has nearly the same links in each of them."""
+            u, v = (np.concatenate(x) for x in zip(*held))
+            nodes, at = np.unique(np.concatenate([u, v]), axis=0, return_inverse=True) if lanes > 1 else _unique(np.concatenate([u, v]))
+            parent = np.arange(len(nodes))
+            _union(parent, at[: len(u)], at[len(u) :])
+            moved = np.nonzero(parent != np.arange(len(nodes)))[0]
+            return pa.RecordBatch.from_arrays([*_arrow(nodes[moved]), *_arrow(nodes[parent[moved]])], ends)
+
+        held, size = [], 0
+        for pair in by_group(batches, 2, done):
+            held.append(pair)
+            size += len(pair[0])
+            if size > 200_000:
+                yield joined(held)
+                held, size = [], 0
+        if held:
+            yield joined(held)
 
     shards = distinct.select(names).transform(in_arrow, deal, f"leaf int, cell int, home boolean, {_schema(names)}")
     met = shards.repartition(partitions(spark), "leaf", "cell").sortWithinPartitions("leaf", "cell").transform(in_arrow, meet, _schema(ends))
@@ -362,13 +378,21 @@ def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def verified(members: DataFrame, width: int) -> DataFrame:
     """members: (family, blocks, set, text). (u, v): links of sets that connect what chains of similar sets connect."""
     own = F.pmod(F.xxhash64("family", "set"), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), own))
-    dealt = members.withColumns({"own": own, "other": F.explode(others)}).select("family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "set", "text")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.withColumns({"own": own, "other": others}).select("family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "set", "text")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.concatenate([p.column(3).to_numpy(zero_copy_only=False) for p in parts])
-            u, v = similar([shingles(t.encode(), width) for p in parts for t in p.column(4).to_pylist()])
+            own, ids = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in (3, 4))
+            sets = [shingles(t.encode(), width) for p in parts for t in p.column(5).to_pylist()]
+            u, v = similar(sets)
+            if own[0] != own[-1]:  # links within a block are given by its group with itself; here one from each component
+                lone, root, cut = np.ones(len(ids), bool), np.arange(len(ids)), int(np.argmax(own != own[0]))
+                root[u] = v
+                lone[similar(sets[:cut])[0]] = False
+                lone[similar(sets[cut:])[0] + cut] = False
+                u = np.nonzero(lone & (root != np.arange(len(ids))))[0]
+                v = root[u]
             return ids[u], ids[v]
 
         held: list = []
@@ -380,7 +404,7 @@ def verified(members: DataFrame, width: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
 
-    return dealt.repartition(partitions(members.sparkSession), "family", "a", "b").sortWithinPartitions("family", "a", "b").transform(in_arrow, meet, "u long, v long")
+    return dealt.repartition(partitions(members.sparkSession), "family", "a", "b").sortWithinPartitions("family", "a", "b", "own", "set").transform(in_arrow, meet, "u long, v long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 22, lanes: int = 2, reach: int = 32) -> DataFrame:
