@@ -66,6 +66,29 @@ def runs(starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK_BYTES) -> Iter
         i = j
 
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: int, done) -> Iterator[pa.RecordBatch]:
+    """done(batches of one group) for each run of rows that are equal in the first `keys` columns; keys have no nulls."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.nonzero(new)[0].tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield done(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield done(held)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(np.uint64, copy=True)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_arrow, mix64, partitions, runs, utf8
+from .common import by_group, checkpointed, in_arrow, mix64, partitions, runs, utf8
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -272,29 +272,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, reach: int = 0) -> DataFram
     return met.distinct()
 
 
-def by_group(batches: Iterator[pa.RecordBatch], keys: int, done) -> Iterator[pa.RecordBatch]:
-    """done(batches of one group) for each run of rows that are equal in the first `keys` columns; keys have no nulls."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.nonzero(new)[0].tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield done(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield done(held)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     """(id, fp0, ..., component_id): one row for each row of docs; component_id is the smallest id that links reach."""
     names = _names(lanes)

@@ -4,9 +4,12 @@ Every window (LENGTH bytes at a place) has one anchor: of the K-byte strings ins
 the first on ties. Equal windows have equal anchors at equal places, so each window needs comparing only with windows of
 the same anchor, and a window is met under its anchor alone.
 
-1. Anchors (about one in 35 bytes) are counted by hash, with partial sums; those of one text alone, once, are done.
-2. A document ships, for each anchor left, the fragment of bytes that its windows span. Anchors held more than SALT
-   times are dealt over shards by a hash of the document.
+1. A task finds the anchors of its texts (about one in 35 bytes). An anchor's fragment is all the bytes that its windows
+   span; its hash goes along with that of the anchor, 128 bits together. Fragments equal to an earlier one repeat it
+   window by window: a task settles those among its own texts, in blocks, and sends of each different one the earliest.
+2. Sorted by anchor, equal fragments of all tasks are settled. What is left are the anchors with several different
+   fragments, one of each; only their bytes are taken from the documents. Anchors with over SALT fragments are dealt over
+   shards; anchors that a sample shows with very many are dealt over cells for the sorting too.
 3. A shard builds a suffix array of its fragments: Larsson-Sadakane refinement in numpy (ranks by the first 8 bytes,
    doubled, only among suffixes that are still equal), and common prefixes by Kasai's method, stepped for all fragments
    side by side. In a run of suffixes with LENGTH bytes in common, all but the earliest (document, start) are repeats.
@@ -24,6 +27,7 @@ and between the ids before and after. Rows without an id are left whole and are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -37,23 +41,29 @@ from pyspark.sql.types import IntegralType
 from .common import in_arrow, mix64, partitions, runs, utf8
 
 LENGTH, K, SALT, SHARD_BYTES = 100, 32, 4096, 1 << 19
-_B = 0x9E3779B97F4A7C15
+#: Text that a task settles at once; bytes of the sample that finds hot anchors; how many different fragments make an
+#: anchor hot there (or what share of the sampled texts), and over how many cells its fragments are dealt.
+BLOCK_BYTES, SAMPLE_BYTES, HOT, HOT_SHARE, HOT_CELLS = 16 << 20, 32 << 20, 64, 500, 64
+_B, _C = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _ALL = 2**64 - 1
-
-
-SEGMENT = 1 << 23
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+#: A longer text is hashed in segments.
+SEGMENT = 1 << 21
 
 
 def rolling(data: np.ndarray, k: int, base: int) -> np.ndarray:
     """A 64-bit hash of the k bytes from each place on, by doubling."""
-    h, size, have = mix64(data.astype(np.uint64) + np.uint64(1)), 1, {}
+    h, size, have = _BYTE[data], 1, {}
     have[1] = (h, base)
     while size * 2 <= k:
         h = h[:-size] * np.uint64(base) + h[size:]
         size, base = size * 2, base * base & _ALL
-        have[size] = (h, base)
-    for s in sorted(have, reverse=True)[1:]:
-        if k - size >= s:
+        if size & k:
+            have[size] = (h, base)
+    if size == k:
+        return mix64(h)
+    for s in sorted(have, reverse=True):
+        if s < size and k - size >= s:
             more, b = have[s]
             m = len(h) - s
             h = h[:m] * np.uint64(b) + more[size : size + m]
@@ -61,8 +71,21 @@ def rolling(data: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix64(h)
 
 
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and their inverses, as far as a segment goes."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SEGMENT, x, np.uint64))]) for x in (_C, pow(_C, -1, 2**64)))
+
+
+def _digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of data from `first` to `end`, by sums up to each place."""
+    power, inverse = _powers()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
+    return mix64((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64) * np.uint64(_B))
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, last window) of each anchor. bounds: where documents begin in data, and its end.
+    """(hash of the anchor, hash of its fragment, first window, last window). bounds: where documents begin in data, and its end.
 
     A longer text is met in segments that share length - 1 bytes: the windows of an anchor at their edge come in two runs."""
     if len(data) > SEGMENT:
@@ -70,11 +93,11 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, k: int =
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             for at in range(a, b, SEGMENT // 2):
                 end = min(b, at + SEGMENT // 2 + length - 1)
-                h, *places = anchors(data[at:end], np.array([0, end - at]), length, k)
-                parts.append((h, *(x + at for x in places)))
+                *hashes, first, last = anchors(data[at:end], np.array([0, end - at]), length, k)
+                parts.append((*hashes, first + at, last + at))
         return tuple(np.concatenate(x) for x in zip(*parts))
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     h = rolling(data, k, _B)
     place = np.arange(len(h), dtype=np.uint64)
     key = (h >> np.uint64(24)) << np.uint64(24) | place  # of 16 MB at most
@@ -91,13 +114,14 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, k: int =
             whole[a : b - length + 1] = True
     starts = np.nonzero(whole)[0]
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     of = at[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.nonzero(new)[0]
     last = np.append(first[1:], len(starts)) - 1
-    return h[of[first]], of[first], starts[first], starts[last]
+    first, last, of = starts[first], starts[last], of[first]
+    return h[of], _digests(data, first, last + length), first, last
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -190,6 +214,109 @@ def kasai(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, order: np.ndar
 
 
 FRAGMENT = "anchor long, salt int, dealt boolean, doc {id}, start long, windows int, bytes binary"
+CANDIDATE = "anchor long, print long, doc {id}, start int, windows int"
+
+
+def _numbers(ids: pa.Array) -> np.ndarray:
+    """Numbers that order the ids."""
+    return ids.to_numpy() if pa.types.is_integer(ids.type) else np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+
+
+def _merged(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of one of its members, first, windows) of runs of neighbouring windows of the same row."""
+    if not len(row):
+        return row, first, count
+    turn = np.lexsort((first, row))
+    row, first, count = row[turn], first[turn].astype(np.int64), count[turn]
+    near = np.cumsum(np.append(0, row[1:] != row[:-1])) << 32
+    ends = np.maximum.accumulate(near + first + count)
+    new = np.append(True, near[1:] + first[1:] > ends[:-1])
+    begin = np.nonzero(new)[0]
+    last = np.append(begin[1:], len(row)) - 1
+    return turn[begin], first[begin], (ends[last] - near[last] - first[begin]).astype(np.int32)
+
+
+class _Block:
+    """Anchors of some texts of a task. Equal fragments but the earliest (document, start) are settled there and then, as
+    runs with a negative number of windows; of a fragment that all documents hold, a block sends one."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, ids: pa.Array, h: np.ndarray, g: np.ndarray, first: np.ndarray, windows: np.ndarray, size: int) -> None:
+        self.parts.append((ids, h, g, first.astype(np.int32), windows.astype(np.int32)))
+        self.size += size
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([p[0] for p in self.parts])
+        h, g, first, windows = (np.concatenate([p[k] for p in self.parts]) for k in range(1, 5))
+        self.parts, self.size = [], 0
+        turn = np.lexsort((first, _numbers(ids), g, h))
+        again = np.append(False, (h[turn[1:]] == h[turn[:-1]]) & (g[turn[1:]] == g[turn[:-1]]))[: len(turn)]
+        late, turn = turn[again], turn[~again]
+        of, run, count = _merged(_numbers(ids)[late], first[late], windows[late])
+        take = np.concatenate([turn, late[of]])
+        columns = [h[take], g[take], np.concatenate([first[turn], run.astype(np.int32)]), np.concatenate([windows[turn], -count])]
+        columns[0][len(turn) :] += mix64(run.astype(np.uint64))  # settled runs go anywhere
+        for s in range(0, len(take), 50_000):
+            h_, g_, start, n = (x[s : s + 50_000] for x in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(h_.view(np.int64)), pa.array(g_.view(np.int64)), ids.take(pa.array(take[s : s + 50_000])), pa.array(start), pa.array(n)], ["anchor", "print", "doc", "start", "windows"])
+
+
+class _Settler:
+    """Takes rows sorted by (anchor, print, doc, start) and gives (doc, start, windows, anchor, cell). Fragments equal to an
+    earlier one, and settled runs, have a null anchor; of an anchor with several different fragments one of each goes on,
+    and of one with over `salt` in cells. A group's fragments are held back until there are so many, so memory is bounded."""
+
+    def __init__(self, hot: np.ndarray, salt: int):
+        self.hot, self.salt, self.held, self.last, self.sent = hot, salt, None, None, 0  # of the open anchor: (anchor, print), fragments sent
+
+    def __call__(self, table: pa.Table, end: bool) -> pa.RecordBatch:
+        h, g, start, windows = (table.column(c).to_numpy() for c in (0, 1, 3, 4))
+        ids = table.column(2).combine_chunks()
+        run = windows < 0
+        gone, live = np.nonzero(run)[0], np.nonzero(~run)[0]
+        h_, g_ = h[live], g[live]
+        new_h = np.append(True, h_[1:] != h_[:-1])[: len(live)]
+        new = new_h | np.append(True, g_[1:] != g_[:-1])[: len(live)]
+        if len(live) and self.last and self.last[0] == h_[0]:
+            new[0] = self.last[1] != g_[0]
+        elif len(live):
+            self.last, self.sent = None, 0
+        gone, of, group = np.concatenate([gone, live[~new]]), live[new], (np.cumsum(new_h) - 1)[new]
+        n = np.bincount(group, minlength=int(new_h.sum())) if len(live) else np.zeros(0, np.int64)
+        k = np.arange(len(group)) - (np.cumsum(n) - n)[group]
+        if len(n):
+            n[0] += self.sent
+            k[group == 0] += self.sent
+        warm = np.isin(h[of], self.hot)
+        dealt, keep = (n[group] > self.salt) | warm, (n[group] > 1) | warm
+        back = np.zeros(len(of), bool)  # the open group, as long as it isn't known to be dealt
+        if len(n) and not end:
+            if n[-1] > self.salt or (self.sent and len(n) == 1):
+                self.last, self.sent = (h_[-1], g_[-1]), int(n[-1])
+                dealt[group == len(n) - 1] = True
+            else:
+                back, self.last, self.sent = group == len(n) - 1, None, 0
+        self.held = table.take(pa.array(of[back]))
+        spread = np.where(warm, ((g[of] & (HOT_CELLS - 1)) << 20), 0) + k // self.salt
+        keep &= ~back
+        of, cell = of[keep], np.where(dealt, spread, -1)[keep]
+        take = np.concatenate([gone, of])
+        anchor = pa.concat_arrays([pa.nulls(len(gone), pa.int64()), pa.array(h[of])])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(start[take]), pa.array(np.abs(windows[take])), anchor, pa.array(np.concatenate([np.full(len(gone), -1), cell]).astype(np.int32))], ["doc", "start", "windows", "anchor", "cell"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch], hot: np.ndarray, salt: int = SALT, rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    own, parts, size = _Settler(hot, salt), [], 0
+    for batch in batches:
+        parts.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size >= rows:
+            yield own(pa.concat_tables(parts), False)
+            parts, size = [own.held], 0
+    if parts:
+        yield own(pa.concat_tables(parts), True)
 
 
 def _repeats(dealt: np.ndarray, doc: np.ndarray, start: np.ndarray, raw: list[bytes], length: int):
@@ -254,58 +381,71 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return ends - starts
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc, spans: array of (first, last) windows that repeat an earlier one), for texts that stand for their copies."""
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = _own(docs, id_col, text_col, length)
+def _hot(own: DataFrame, length: int, k: int) -> np.ndarray:
+    """Hashes of anchors with very many different fragments, seen in a sample of bounded size. It spreads work, and no more."""
+    n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, SAMPLE_BYTES / max(1, n))
+    some = own.where(F.xxhash64("doc", F.lit(5)).cast("double") / 2.0**64 + 0.5 < share)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in _texts(batch, 1):
+                h, g, *_ = anchors(data, bounds, length, k)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["h", "g"])
+
+    least = F.greatest(F.lit(HOT), F.lit(some.count() // HOT_SHARE))
+    counts = some.transform(in_arrow, find, "h long, g long").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return np.array([r.h for r in counts.select("h").collect()], np.int64)
+
+
+def repeated_spans(own: DataFrame, stand: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """own: (doc, text), each doc once; stand: (doc) of the texts that stand for their copies.
+    (doc, spans: array of (first, last) windows that repeat an earlier one)."""
+    spark, n = own.sparkSession, partitions(own.sparkSession)
+    kind, packed = own.schema["doc"].dataType.simpleString(), _packed(own).join(stand.hint("shuffle_hash"), "doc", "left_semi")
+    hot, salt = _hot(own, length, k), SALT
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block()
         for batch in batches:
-            for i, _, data, bounds in _texts(batch, 2):
-                h, place, _, _ = anchors(data, bounds, length, k)
-                row = np.searchsorted(bounds, place, side="right") - 1
-                take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(take), pa.array(place - bounds[row]), batch.column(1).take(take)], ["anchor", "doc", "place", "of"])
-
-    found = own.select("doc", F.xxhash64("text").alias("of"), "text").transform(in_arrow, find, f"anchor long, doc {kind}, place long, of long")
-    # the place of an anchor in a text: equal in exact copies alone
-    held = found.select("anchor", F.xxhash64("of", "place").alias("x")).groupBy("anchor").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
-    shared = held.where("a != b").select("anchor", F.ceil(F.col("n") / SALT).cast("long").alias("cells"))
-    # an anchor that very many documents hold: both sides are plain exchanges, which AQE splits
-    of_doc = found.select("anchor", "doc").join(shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("anchor", "cells")).alias("held"))
-    stand = own.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc").alias("doc")).select("doc")
-    wanted = of_doc.join(stand.hint("shuffle_hash"), "doc", "left_semi")
+            for i, _, data, bounds in _texts(batch, 1):
+                h, g, first, last = anchors(data, bounds, length, k)
+                row = np.searchsorted(bounds, first, side="right") - 1
+                block.add(batch.column(0).take(pa.array(row + i)), h, g, first - bounds[row], last - first + 1, len(data))
+                if block.size >= BLOCK_BYTES:
+                    yield from block.done()
+        if block.parts:
+            yield from block.done()
+
+    place = F.when(F.col("anchor").isin(hot.tolist()), F.xxhash64("anchor", F.pmod("print", F.lit(HOT_CELLS)))).otherwise(F.col("anchor")) if len(hot) else F.col("anchor")
+    candidates = packed.transform(in_arrow, find, CANDIDATE.format(id=kind)).repartition(n, place).sortWithinPartitions("anchor", "print", "doc", "start")
+    held = candidates.transform(in_arrow, lambda batches: _settle(batches, hot, salt), f"doc {kind}, start int, windows int, anchor long, cell int").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "anchor", "cell")).alias("held"))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "salt", "dealt", "doc", "start", "windows", "bytes"]
         for batch in batches:
-            ids, lists, marks = batch.column(0), batch.column(2), batch.column(3).to_numpy().view(np.uint64)
+            ids, lists, marks = batch.column(0), batch.column(2), batch.column(3).to_numpy()
             at = lists.offsets.to_numpy().astype(np.int64)
             at, flat = at - at[0], lists.flatten()
-            named, cells = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
+            start, windows, cell = (flat.field(c).to_numpy() for c in (0, 1, 3))
+            fresh = flat.field(2).is_valid().to_numpy(zero_copy_only=False)
+            anchor = flat.field(2).fill_null(0).to_numpy()
+            owner = np.repeat(np.arange(len(ids)), np.diff(at))
+            of, first, count = _merged(owner[~fresh], start[~fresh], windows[~fresh])
+            row = owner[~fresh][of]
+            m = len(row)
+            yield pa.RecordBatch.from_arrays([pa.array(marks[row] + first), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, bool)), ids.take(pa.array(row)), pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array([b""] * m, pa.binary())], names)
             for i, j, data, bounds in _texts(batch, 1):
-                h, place, first, last = anchors(data, bounds, length, k)
-                row = np.searchsorted(bounds, place, side="right") - 1
-                want = mix64(named[at[i] : at[j]] + np.repeat(np.arange(j - i), np.diff(at[i : j + 1])).astype(np.uint64) * np.uint64(_B))
-                if not len(want) or not len(place):
-                    continue
-                turn = np.argsort(want)
-                want, cell, here = want[turn], cells[at[i] : at[j]][turn], mix64(h + row.astype(np.uint64) * np.uint64(_B))
-                spot = np.minimum(np.searchsorted(want, here), len(want) - 1)
-                kept = np.nonzero(want[spot] == here)[0]
-                h, place, first, last, row, cell = h[kept], place[kept], first[kept], last[kept], row[kept], cell[spot[kept]].astype(np.uint64)
-                text, seen, raw = data.tobytes(), set(), []
-                for r, a, b in zip(row.tolist(), first.tolist(), last.tolist()):
-                    piece = text[a : b + length]
-                    raw.append(b"" if (r, piece) in seen else piece)  # a fragment repeated in its document is settled here
-                    seen.add((r, piece))
-                salt = mix64(marks[row + i] + place.astype(np.uint64)) % cell
-                start, windows = first - bounds[row], (last - first + 1).astype(np.int32)
+                here = np.nonzero(fresh[at[i] : at[j]])[0] + at[i]
+                text, row = data.tobytes(), owner[here]
+                begin = bounds[row - i] + start[here]
+                raw = [text[a:b] for a, b in zip(begin.tolist(), (begin + windows[here] + length - 1).tolist())]
                 for s in range(0, len(raw), 20_000):
                     o = slice(s, s + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[o].view(np.int64)), pa.array(salt[o].astype(np.int32)), pa.array(cell[o] > 1), ids.take(pa.array(row[o] + i)), pa.array(start[o]), pa.array(windows[o]), pa.array(raw[o], pa.binary())], ["anchor", "salt", "dealt", "doc", "start", "windows", "bytes"])
+                    x, c = here[o], cell[here[o]]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[x]), pa.array(np.maximum(c, 0).astype(np.int32)), pa.array(c >= 0), ids.take(pa.array(row[o])), pa.array(start[x].astype(np.int64)), pa.array(windows[x]), pa.array(raw[o], pa.binary())], names)
 
-    fragments = _packed(own).join(wanted.hint("shuffle_hash"), "doc").select("doc", "z", "held", F.xxhash64("doc").alias("mark")).transform(in_arrow, ship, FRAGMENT.format(id=kind))
+    fragments = packed.join(held.hint("shuffle_hash"), "doc").select("doc", "z", "held", F.xxhash64("doc").alias("mark")).transform(in_arrow, ship, FRAGMENT.format(id=kind))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "first", "last", "x", "y"]
@@ -357,10 +497,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spread.transform(in_arrow, merge, f"doc {kind}, first long, last long").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def _own(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(f"doc is not null and octet_length(text) >= {length}")
-
-
 def _packed(own: DataFrame) -> DataFrame:
     """(doc, z): texts compressed for the one exchange that both joins read."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,9 +520,9 @@ def _kept(first: np.ndarray, last: np.ndarray, size: int, length: int) -> tuple[
     return list(zip(edges[::2], edges[1::2])), int((ends - begins).sum()), len(begins)
 
 
-def _spliced(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
+def _spliced(own: DataFrame, stand: DataFrame, length: int, k: int) -> DataFrame:
     """(doc, n_removed, n_spans, kept_sha256, kept): of each text that stands for its copies and repeats something."""
-    own, kind = _own(docs, id_col, text_col, length), docs.schema[id_col].dataType.simpleString()
+    kind = own.schema["doc"].dataType.simpleString()
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,37 +540,40 @@ def _spliced(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -
                 a, b, c, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d, pa.string())], ["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    spans = repeated_spans(docs, id_col, text_col, length, k)
+    spans = repeated_spans(own, stand, length, k)
     return _packed(own).join(spans.hint("shuffle_hash"), "doc").select("doc", "z", "spans").transform(in_arrow, splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-def _name(docs: DataFrame, id_col: str, text_col: str) -> Column | None:
-    """What names a row's document if some id has different texts: the id with a digest of the text. Else the id does."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column | None, bool]:
+    """(what names a row's document if some id has different texts: the id with a digest of the text; None if the id does,
+    does an id occur twice)."""
     ident, digest = F.col(id_col), F.xxhash64(text_col)
-    if docs.where(ident.isNotNull()).groupBy(ident).agg((F.min(digest) != F.max(digest)).alias("differ")).where("differ").isEmpty():
-        return None
+    by_id = docs.where(ident.isNotNull()).groupBy(ident).agg((F.min(digest) != F.max(digest)).alias("differ"), (F.count("*") > 1).alias("again"))
+    found = by_id.agg(F.max("differ").alias("differ"), F.max("again").alias("again")).first()
+    if not found.differ:
+        return None, bool(found.again)
     whole = isinstance(docs.schema[id_col].dataType, IntegralType)  # as strings of equal length they keep their order
     ordered = F.lpad((ident.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0") if whole else ident.cast("string")
-    return F.concat(ordered, F.lit("\0"), F.md5(F.coalesce(text_col, F.lit(""))))
+    return F.concat(ordered, F.lit("\0"), F.md5(F.coalesce(text_col, F.lit("")))), True
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
     """docs' rows as (doc, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is null where a text stays as it is."""
-    name, ident, text = _name(docs, id_col, text_col), F.col(id_col), F.col(text_col).alias("text")
+    (name, again), ident, text = _named(docs, id_col, text_col), F.col(id_col), F.col(text_col).alias("text")
     if name is None:
-        return _deduplicated(docs.select(ident.alias("doc"), text), length, k)
-    return _deduplicated(docs.select(ident.alias("id"), name.alias("doc"), text), length, k).drop("doc").withColumnRenamed("id", "doc")
-
+        return _deduplicated(docs.select(ident.alias("doc"), text), length, k, again)
+    return _deduplicated(docs.select(ident.alias("id"), name.alias("doc"), text), length, k, again).drop("doc").withColumnRenamed("id", "doc")
 
-def _deduplicated(docs: DataFrame, length: int, k: int = K) -> DataFrame:
-    """docs: (doc, text) or (id, doc, text), where doc names one text. Results have its columns but for the text.
 
-    A character that loses some of its bytes goes from `kept` with all of them; the digest is of the bytes."""
+def _deduplicated(docs: DataFrame, length: int, k: int = K, again: bool = False) -> DataFrame:
+    """docs: (doc, text) or (id, doc, text), where doc names one text; again: it may come twice. Results have its columns
+    but for the text. A character that loses some of its bytes goes from `kept` with all of them; the digest is of the bytes."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     names = [c for c in docs.columns if c != "text"]
     rows = docs.select(*names, size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     least = rows.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("stands"))
-    changed = _spliced(docs, "doc", "text", length, k).dropDuplicates(["doc"])
+    own = docs.select("doc", "text").where(f"doc is not null and octet_length(text) >= {length}")
+    changed = _spliced(own.dropDuplicates(["doc"]) if again else own, least.select(F.col("stands").alias("doc")), length, k)
     copy = F.coalesce((F.col("n_bytes") >= length) & (F.col("doc") > F.col("stands")), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
     return rows.join(least, "sha", "left").join(changed, "doc", "left").select(
@@ -446,10 +585,10 @@ def _deduplicated(docs: DataFrame, length: int, k: int = K) -> DataFrame:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """docs with texts cut by their repeated spans (and chars_col, where there is one, counted again). No row goes."""
-    name = _name(docs, id_col, text_col)
+    name, again = _named(docs, id_col, text_col)
     name = F.col(id_col) if name is None else name
-    cut = _deduplicated(docs.select(name.alias("doc"), F.col(text_col).alias("text")), length).where("kept is not null").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept")).dropDuplicates(["__doc"])
-    both = docs.join(cut, name == F.col("__doc"), "left")
+    cut = _deduplicated(docs.select(name.alias("doc"), F.col(text_col).alias("text")), length, again=again).where("kept is not null").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
+    both = docs.join(cut.dropDuplicates(["__doc"]) if again else cut, name == F.col("__doc"), "left")
     text = F.coalesce("__kept", text_col)
     new = {text_col: text} | ({chars_col: F.when(F.col("__kept").isNull(), F.col(chars_col)).otherwise(F.char_length(text)).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
     return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

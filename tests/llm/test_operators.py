@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -235,6 +236,32 @@ def test_suffix_dedup_equals_brute_force(spark, salt, monkeypatch):
     assert cut.count() == len(rows) + len(ODD) and cut.columns == docs(spark, rows).columns
 
 
+@pytest.mark.parametrize("rows", [1, 3, 7, 1000])
+def test_fragments_are_settled_in_any_batches(rows):
+    rng = random.Random(rows)
+    marks = sorted({(rng.randint(0, 9), rng.randint(0, 6), d, rng.randint(0, 3)) for d in range(160)})
+    table = pa.table({"anchor": [m[0] for m in marks], "print": [m[1] for m in marks], "doc": [m[2] for m in marks], "start": pa.array([m[3] for m in marks], pa.int32()), "windows": pa.array([-4 if m[3] == 3 else 5 for m in marks], pa.int32())})
+    got = [r for b in substring_dedup._settle(iter(table.to_batches(max_chunksize=2)), np.array([7]), 3, rows) for r in b.to_pylist()]
+    live = [m for m in marks if m[3] != 3]
+    first = {}
+    for m in live:
+        first.setdefault(m[:2], m)
+    several = {h: n for h in range(10) if (n := sum(k[0] == h for k in first)) > 1 or h == 7}
+    on = {(m[2], m[0]): several[m[0]] > 3 or m[0] == 7 for m in first.values() if m[0] in several}
+    assert {(r["doc"], r["anchor"]): r["cell"] >= 0 for r in got if r["anchor"] is not None} == on
+    assert sorted((r["doc"], r["windows"]) for r in got if r["anchor"] is None) == sorted((m[2], 4 if m[3] == 3 else 5) for m in marks if m[3] == 3 or first[m[:2]] != m)
+
+
+def test_suffix_dedup_of_repeated_rows_and_long_texts(spark, monkeypatch):
+    rng = random.Random(15)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    a, b, long = say(60), say(60), say(600_000)
+    rows = [(1, a), (1, a), (2, b + " " + a), (3, long), (4, long[2_000_000:2_300_000])]
+    got = {(r.doc, r.n_bytes, r.n_removed) for r in substring_dedup.deduplicated(docs(spark, rows)).collect()}
+    assert got == {(1, len(a), 0), (2, len(rows[2][1]), len(a)), (3, len(long), 0), (4, 300_000, 300_000)}
+    assert substring_dedup.without_repeats(docs(spark, rows)).count() == 5
+
+
 def test_an_id_with_different_texts(spark):
     rng = random.Random(6)
     a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(120)) for _ in range(3))
