@@ -8,7 +8,7 @@ likelihood (forward-backward in numpy, all pages at once) on labelled pages, by
 in many layouts from a seed, and decoded by Viterbi.
 
 Defined results: null or empty html, and pages without main text, give the empty text. A line break tag is white space.
-Unclosed and crossing tags close as far as needed. White space is Unicode's, no-break spaces included. Very long pages
+Unclosed and crossing tags close as far as needed; a tag without its `>` is text. White space is Unicode's, no-break spaces included. Very long pages
 are read whole. Repeated rows give equal texts; other columns don't matter.
 """
 
@@ -35,16 +35,111 @@ HIDDEN = frozenset("script style template noscript head title svg math iframe ob
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
+#: Where a tag begins. Its name can't share characters with what follows, so nothing is read twice.
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/><]*))")
+_STOP = re.compile("""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(ancestors with class words, text, its characters inside links) of each leaf block, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[str] = []  # open block-level tags
-    paths: list[tuple[str, ...]] = [()]
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_DIGIT = re.compile(r"\d")
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
+
+
+@functools.lru_cache(maxsize=20_000)
+def _words(attributes: str) -> tuple[str, ...]:
+    """The words of a tag's class, id and role."""
+    return tuple(sorted({w for n in _NAMES.findall(attributes) for x in n if x for w in _WORD.findall(_CAMEL.sub(r"\1 \2", x).lower())}))
+
+
+class _Source:
+    """A page and where its tags end. What a search has found, or that there is nothing left to find, is remembered, so
+    that reading a page takes time in proportion to its length whatever it holds."""
+
+    def __init__(self, page: str):
+        self.page, self.ends, self.quotes = page, {}, True
+
+    def _next(self, what: str, at: int, search) -> tuple[int, int] | None:
+        """The first match from `at` on."""
+        known = self.ends.get(what, (-1, -1))
+        if known is not None and known[0] < at:
+            known = self.ends[what] = search(at)
+        return known
+
+    def find(self, what: str, at: int) -> int:
+        """Just behind the next `what`; -1 if there is none."""
+        def search(at: int):
+            k = self.page.find(what, at)
+            return None if k < 0 else (k, k + len(what))
+
+        found = self._next(what, at, search)
+        return -1 if found is None else found[1]
+
+    def hidden_end(self, tag: str, at: int) -> int:
+        def search(at: int):
+            m = _ENDS[tag].search(self.page, at)
+            return m and m.span()
+
+        found = self._next(f"/{tag}", at, search)
+        return -1 if found is None else found[1]
+
+    def tag_end(self, at: int) -> int:
+        """Just behind a tag's `>`, which quoted values may hold; -1 if there is none. Where a quote would swallow the
+        rest of the page, quotes are plain characters from there on."""
+        if self.quotes:
+            here = at
+            while m := _STOP.search(self.page, here):
+                if m[0] == ">":
+                    return m.end()
+                here = self.find(m[0], m.end())
+                if here < 0:
+                    break
+            self.quotes = False
+        return self.find(">", at)
+
+
+class _Path:
+    """The open block-level elements, and the features of them all: a score under a model, or the set of features."""
+
+    def __init__(self, lead: list[float] | None):
+        self.lead, self.count, self.score, self.open, self.places = lead, {}, 0.0, [], {}
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        found = _element(tag, words)
+        for f in found:
+            n = self.count[f] = self.count.get(f, 0) + 1
+            if n == 1 and self.lead:
+                self.score += self.lead[f]
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, found))
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            tag, found = self.open.pop()
+            self.places[tag].pop()
+            for f in found:
+                n = self.count[f] = self.count[f] - 1
+                if not n and self.lead:
+                    self.score -= self.lead[f]
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of one of the tags; -1 if none is open."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    def innermost(self) -> str:
+        return self.open[-1][0] if self.open else ""
+
+    def value(self):
+        own = len(TAGS) + _TAG_AT[self.innermost()] if self.innermost() in _TAG_AT else None
+        if self.lead:
+            return self.score + (self.lead[own] if own is not None else 0.0)
+        return tuple(sorted({f for f, n in self.count.items() if n} | ({own} if own is not None else set())))
+
+
+def blocks(page: str, lead: list[float] | None = None) -> list[tuple[object, str, int, str]]:
+    """(its ancestors' features, or their score under `lead`; text, its characters inside links, innermost tag) of each
+    leaf block, in page order."""
+    out: list[tuple[object, str, int, str]] = []
+    path, source = _Path(lead), _Source(page)
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -54,32 +149,42 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((paths[-1], text, min(linked, len(text))))
+                out.append((path.value(), text, min(linked, len(text)), path.innermost()))
             parts.clear()
         linked = 0
 
-    end = len(page)
+    end, seen = len(page), 0  # text from `at` on, tags looked for from `seen` on
     while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
+        stop = page.find("<", seen)
+        m = _OPEN.match(page, stop) if stop >= 0 else None
+        if stop < 0:
+            stop = closed = end
+        elif not m:
+            seen = stop + 1
+            continue
+        elif m[1]:
+            closed = source.find("-->", m.end())
+            closed = end if closed < 0 else closed
+        else:
+            closed = source.find(">", m.end()) if m[2] else source.tag_end(m.end())
+            if closed < 0:  # no tag ends any more: the rest is text, but for comments
+                seen = m.end()
+                continue
         if stop > at:
             parts.append(page[at:stop])
             if in_link:
                 linked += stop - at
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        at = seen = closed
+        if not m or m[1] or m[2]:
             continue
-        tag = tag.lower()
-        closing = m[1]
+        tag, closing, names = m[4].lower(), m[3], page[m.end() : closed - 1]
         if tag in HIDDEN:
-            if not closing and not m[3].endswith("/"):
-                found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if tag == "head" and not found:
-                    continue
-                at = found.end() if found else (end if tag in ("script", "style") else at)
+            if not closing and not names.endswith("/"):
+                found = source.hidden_end(tag, at)
+                if found >= 0:
+                    at = seen = found
+                elif tag in ("script", "style"):
+                    at = seen = end
             continue
         if tag in INLINE:
             if tag == "a":
@@ -89,30 +194,20 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         flush()
         if closing:
-            if tag in stack:
-                k = len(stack) - 1 - stack[::-1].index(tag)
-                del stack[k:], paths[k + 1 :]
+            k = path.nearest((tag,))
+            if k >= 0:
+                path.cut(k)
                 in_link = False
             continue
-        if tag in CLOSES_P and stack and stack[-1] == "p":
-            stack.pop(), paths.pop()
-        same, scope = SAME.get(tag), SCOPE.get(tag, ())
-        if same:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in same:
-                    del stack[k:], paths[k + 1 :]
-                    break
-                if stack[k] in scope:
-                    break
+        if tag in CLOSES_P and path.innermost() == "p":
+            path.cut(len(path.open) - 1)
+        if tag in SAME:
+            k = path.nearest(SAME[tag])
+            if k > path.nearest(SCOPE[tag] - SAME[tag]):
+                path.cut(k)
         if tag in VOID:
             continue
-        names = m[3]
-        mark = tag
-        if names and "=" in names:
-            words = {w for n in _NAMES.findall(names) for x in n if x for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())}
-            if words:
-                mark = f"{tag}.{'.'.join(sorted(words))}"
-        stack.append(tag), paths.append((*paths[-1], mark))
+        path.push(tag, (_words if len(names) < 200 else _words.__wrapped__)(names) if "=" in names else ())
     flush()
     return out
 
@@ -125,16 +220,9 @@ WIDTH = BASE + WORD_BUCKETS + len(TEXT_NAMES)
 
 
 @functools.lru_cache(maxsize=50_000)
-def _ancestors(path: tuple[str, ...]) -> tuple[int, ...]:
-    found = set()
-    for k, mark in enumerate(path):
-        tag, *words = mark.split(".")
-        if tag in _TAG_AT:
-            found.add(_TAG_AT[tag])
-            if k == len(path) - 1:
-                found.add(len(TAGS) + _TAG_AT[tag])
-        found.update(BASE + zlib.crc32(w.encode()) % WORD_BUCKETS for w in words)
-    return tuple(sorted(found))
+def _element(tag: str, words: tuple[str, ...]) -> tuple[int, ...]:
+    """Features of an open element: its tag, and the words of its class, id and role."""
+    return tuple({*([_TAG_AT[tag]] if tag in _TAG_AT else []), *(BASE + zlib.crc32(w.encode()) % WORD_BUCKETS for w in words)})
 
 
 def _text_features(text: str, linked: int, first: bool, last: bool, headed: bool) -> list[int]:
@@ -145,17 +233,17 @@ def _text_features(text: str, linked: int, first: bool, last: bool, headed: bool
         if linked * 5 > 4 * len(text):
             found.append(at + 8)
     found.append(at + (9 if text[-1] in ".!?…。\"”»" else 10))
-    for k, on in ((11, "," in text), (12, any(c.isdigit() for c in text[:64])), (13, "©" in text), (14, first), (15, last), (16, headed), (17, "|" in text or "»" in text)):
+    for k, on in ((11, "," in text), (12, bool(_DIGIT.search(text))), (13, "©" in text), (14, first), (15, last), (16, headed), (17, "|" in text or "»" in text)):
         if on:
             found.append(at + k)
     return found
 
 
-def _rows(found: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[tuple[int, ...], list[int]]]:
+def _rows(found: list[tuple[object, str, int, str]]) -> list[tuple[tuple[int, ...], list[int]]]:
     out, headed = [], False
-    for k, (path, text, linked) in enumerate(found):
-        out.append((_ancestors(path), _text_features(text, linked, k == 0, k == len(found) - 1, headed)))
-        headed = headed or bool(path) and path[-1][:2] == "h1"
+    for k, (features, text, linked, tag) in enumerate(found):
+        out.append((features, _text_features(text, linked, k == 0, k == len(found) - 1, headed)))
+        headed = headed or tag == "h1"
     return out
 
 
@@ -224,8 +312,8 @@ def examples(pages: list[list[tuple[str, bool]]]) -> list[tuple[list[tuple[tuple
     for pieces in pages:
         marked = "".join(re.sub(r">([^<]*[^<\s][^<]*)(?=<|$)", lambda m, to=_MAIN if main else _REST: f">{to}{m[1]}", p) for p, main in pieces)
         found = blocks(marked)
-        clean = [(path, t.replace(_MAIN, "").replace(_REST, "").strip() or "-", linked) for path, t, linked in found]
-        out.append((_rows(clean), np.array([_MAIN in t for _, t, _ in found], np.int64)))
+        clean = [(features, t.replace(_MAIN, "").replace(_REST, "").strip() or "-", linked, tag) for features, t, linked, tag in found]
+        out.append((_rows(clean), np.array([_MAIN in t for _, t, _, _ in found], np.int64)))
     return out
 
 
@@ -293,25 +381,18 @@ def viterbi(scores: list[float], tr: np.ndarray) -> list[bool]:
 
 
 class Extractor:
-    """A model ready for pages: the score of each distinct ancestor path is worked out once."""
+    """A model ready for pages."""
 
     def __init__(self, model: tuple[np.ndarray, np.ndarray]):
-        self.lead, self.tr, self.known = (model[0][:, 1] - model[0][:, 0]).tolist(), model[1], {}
+        self.lead, self.tr = (model[0][:, 1] - model[0][:, 0]).tolist(), model[1]
 
     def __call__(self, page: str | None) -> str:
-        found = blocks(page or "")
-        if not found:
-            return ""
-        lead, known, scores, headed, last = self.lead, self.known, [], False, len(found) - 1
-        for k, (path, text, linked) in enumerate(found):
-            score = known.get(path)
-            if score is None:
-                if len(known) > 100_000:
-                    known.clear()
-                score = known[path] = sum(lead[i] for i in _ancestors(path))
-            scores.append(score + sum(lead[i] for i in _text_features(text, linked, k == 0, k == last, headed)))
-            headed = headed or bool(path) and path[-1][:2] == "h1"
-        return "\n".join(t for (_, t, _), main in zip(found, viterbi(scores, self.tr)) if main)
+        found = blocks(page or "", self.lead)
+        scores, headed, last = [], False, len(found) - 1
+        for k, (score, text, linked, tag) in enumerate(found):
+            scores.append(score + sum([self.lead[i] for i in _text_features(text, linked, k == 0, k == last, headed)]))
+            headed = headed or tag == "h1"
+        return "\n".join(f[1] for f, main in zip(found, viterbi(scores, self.tr)) if main)
 
 
 def extract(pages: DataFrame, html_col: str = "html", model=None) -> DataFrame:

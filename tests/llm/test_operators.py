@@ -1,13 +1,17 @@
 """Each operator against brute force, a round trip or held-out rows, with nulls, blanks, repeats, ties and extra columns."""
 
 import hashlib
+import itertools
 import random
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docloom.llm import decontaminate, flac, html_text, language, pieces, quality, sharding, simhash, substring_dedup, url_rules
 
@@ -336,6 +340,36 @@ def test_html(spark):
     assert got[0][1] == got[1][1] == "A & B\nOne line here, it says. more\nTwo of them, as told." and got[2][1] == got[3][1] == "" and got[4][1]
 
 
+def test_hostile_pages_take_linear_time():
+    extract = html_text.Extractor(html_text.default_model())
+    began = time.time()
+    for page in ("<a" * 500_000, "<div>" * 200_000 + "</p>" * 200_000 + "</div>" * 200_000, "<svg>" * 100_000, "<noscript>" * 100_000, "<!" * 500_000, '<a "> ' * 100_001, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, '<a b="' * 100_000 + ">", "<b " * 300_000 + ">", "<td>" * 200_000, "<!--" * 200_000):
+        extract(page)
+    assert time.time() - began < 60
+    text = lambda page: [b[1] for b in html_text.blocks(page, [0.0] * html_text.WIDTH)]
+    assert text("<p>a < b</p>c<u f='>'>d<p class=\"x>e") == ["a < b", "cd", "e"] and text("a <b c") == ["a <b c"] and text("x<!-- y") == ["x"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<li>", "</li>", "<ul>", "</ul>", "<td>", "<tr>", "<table>", "</table>", "<svg>", "</svg>", "<a href='x>'>", "</a>", "<br>", "<!--", "-->", "<script>", "</script>", "t", " ", "<", ">", "'", '"']), max_size=30))
+def test_blocks_of_any_tags(tags):
+    found = html_text.blocks("".join(tags), [0.0] * html_text.WIDTH)
+    assert all(b[1] == " ".join(b[1].split()) != "" for b in found)
+
+
+def crf_brute_force(scores, tr):
+    best = max(itertools.product((0, 1), repeat=len(scores)), key=lambda y: sum(s for s, k in zip(scores, y) if k) + sum(tr[a][b] for a, b in zip(y, y[1:])))
+    return [bool(k) for k in best]
+
+
+def test_viterbi_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for n in range(1, 9):
+        for _ in range(20):
+            scores, tr = rng.normal(0, 2, n), rng.normal(0, 1, (2, 2))
+            assert html_text.viterbi(scores.tolist(), tr) == crf_brute_force(scores, tr)
+
+
 def test_crf_held_out():
     weights, transitions = html_text.default_model()
     lead, right, total = weights[:, 1] - weights[:, 0], 0, 0
