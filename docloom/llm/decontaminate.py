@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import in_arrow
 
@@ -63,9 +64,9 @@ def myers(item: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Items ready for texts. items: (id, normalised text)."""
+    """Items ready for texts. items: (id of any type, normalised text)."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
         pieces: dict[str, list[tuple[int, int]]] = {}
         self.items, self.k = items, []
         for n, (_, text) in enumerate(items):
@@ -78,8 +79,9 @@ class Matcher:
             self.found.add_word(piece, (len(piece), where))
         self.found.make_automaton()
 
-    def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, edits, start, end in the normalised text) of every item's best stretch, within its budget."""
+    def __call__(self, text: str) -> list[tuple[object, int, int, int]]:
+        """(item id, edits, start, end in the normalised text) of every item's best stretch, within its budget: the first
+        end with the least edits, and the shortest stretch with these edits that ends there."""
         spots: dict[int, list[int]] = {}
         for end, (size, where) in self.found.iter(text):
             for n, at in where:
@@ -87,23 +89,28 @@ class Matcher:
         out = []
         for n, starts in spots.items():
             (name, item), k, best = self.items[n], self.k[n], None
-            starts = sorted(set(starts))
-            while starts and (best is None or best[1]):
-                first = last = starts.pop(0)
-                while starts and starts[0] - last <= 2 * k:
-                    last = starts.pop(0)
+            starts, at = sorted(set(starts)), 0
+            while at < len(starts) and (best is None or best[1]):
+                first = last = starts[at]
+                at += 1
+                while at < len(starts) and starts[at] - last <= 2 * k:
+                    last = starts[at]
+                    at += 1
                 a, b = max(0, first - k), last + len(item) + k
                 stretch = text[a:b]
                 place = stretch.find(item)
                 edits, end = (0, place + len(item)) if place >= 0 else myers(item, stretch)
                 if edits <= k and (best is None or edits < best[1]):
-                    best = (name, edits, max(0, a + end - len(item)), a + end)
+                    best = (name, edits, a + end, a)
             if best:
-                out.append(best)
+                name, edits, end, least = best
+                # the shortest match that ends there: the same search backwards
+                back = text[max(least, end - len(item) - k) : end][::-1]
+                out.append((name, edits, end - (myers(item[::-1], back)[1] if edits else len(item)), end))
         return sorted(out, key=lambda h: (h[0] is not None, h))
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of bounded size; one block is on the driver at a time."""
     block, size = [], 0
     for row in benchmark.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
@@ -122,8 +129,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id, item_id, edits, start, end): each item that a text holds, with the place in the normalised text."""
     kind, rows = docs.schema[id_col].dataType.simpleString(), docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, item_id {benchmark.schema[item_col].dataType.simpleString()}, edits int, start int, end int"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
-    def against(block: list[tuple[int, str]]) -> DataFrame:
+    def against(block: list[tuple[object, str]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 hits = [(k, *h) for k, t in enumerate(batch.column(1).to_pylist()) if t for h in found(normal(t))]
                 take = pa.array([h[0] for h in hits], pa.int64())
                 rest = [[h[c] for h in hits] for c in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(rest[0], pa.int64()), *(pa.array(r, pa.int32()) for r in rest[1:])], ["id", "item_id", "edits", "start", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(rest[0], item_type), *(pa.array(r, pa.int32()) for r in rest[1:])], ["id", "item_id", "edits", "start", "end"])
 
         return rows.transform(in_arrow, match, schema)
 
@@ -142,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
     """docs without the rows that hold an item; all columns stay, and no id is needed."""
-    def against(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+    def against(rows: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
         shared, at = rows.sparkSession.sparkContext.broadcast(block), rows.columns.index(text_col)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
