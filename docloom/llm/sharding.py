@@ -7,8 +7,9 @@ a source) and the range of fractional ranks (for the whole) are cut into BUCKETS
 bucket's first rank, and a window in the bucket gives the rest. A source with a third of all rows is spread over all
 buckets. Texts are reduced to size and CRC in the scan and never shuffled.
 
-Law `rows`. Defined results: a null text has no bytes (size 16, CRC 0); null sources are a stratum of their own; null
-or repeated ids and repeated rows each take a slot of their own (equal rows in either order); an empty table gives no
+Law `rows`. The shuffle's hash is of id, text (its CRC) and seed, so that rows without an id, or with the same one, are
+spread like others. Defined results: a null text has no bytes (size 16, CRC 0); null sources are a stratum of their own,
+and so is the empty source; null or repeated ids and repeated rows each take a slot of their own (equal rows in either order); an empty table gives no
 rows; other columns don't matter. A group of equal texts isn't held together: it may be larger than a shard.
 """
 
@@ -26,7 +27,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("stratum"),
         (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("crc"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"),
+        F.xxhash64(F.col(id_col), F.crc32(text), F.lit(seed)).alias("h"),
     ).withColumn("b", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * BUCKETS).cast("int"))
     first = Window.partitionBy("stratum").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("stratum", "b").agg(F.count("*").alias("c")).select("stratum", "b", F.coalesce(F.sum("c").over(first), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("stratum")).alias("n"))
@@ -40,7 +41,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     at = F.col("before") + F.col("rn") - 1
     cut = placed.withColumn("rn", F.row_number().over(within)).join(F.broadcast(counts2), "fb").withColumn("at", at).withColumn("shard", F.expr(f"(at * {shards}) div n"))
     start = F.expr(f"(shard * n + {shards - 1}) div {shards}")
-    return cut.select("id", F.expr("nullif(substr(stratum, 2), '')").alias("source"), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), (F.col("at") - start).cast("long").alias("slot"))
+    return cut.select("id", F.when(F.col("stratum") != "", F.expr("substr(stratum, 2)")).alias("source"), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), (F.col("at") - start).cast("long").alias("slot"))
 
 
 def op9_interleave(spark, sf_dir: str) -> DataFrame:
