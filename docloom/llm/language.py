@@ -10,7 +10,7 @@ texts don't all score 1.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Texts of unknown n-grams get the prior's
 language. Rows without a language don't train. No training rows at all: every text is `und` with score 0. Repeated rows
-count as often as they come. Whole texts are read, in pieces of PIECE characters that overlap by two.
+count as often as they come. Whole texts are read, long ones in pieces of PIECE characters with the same counts.
 """
 
 from __future__ import annotations
@@ -39,40 +39,47 @@ def _letter(code: int) -> int:
 _LETTER = np.array([_letter(c) for c in range(1 << 16)], np.uint32)
 
 
-def _letters(text: str) -> np.ndarray:
-    """Code points of a piece: lower-case letters, and one space for each run of others, at either end too."""
-    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    if c.max() >> 16:
+def _codes(text: str) -> np.ndarray:
+    """Of each character its lower-case letter, or a space."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(c) and c.max() >> 16:
         rare = c >> 16 > 0
         known, at = np.unique(c[rare], return_inverse=True)
         out = _LETTER[np.where(rare, 32, c)]
         out[rare] = np.array([_letter(int(k)) for k in known], np.uint32)[at]
-    else:
-        out = _LETTER[c]
-    space = out == 32
-    keep = np.ones(len(out), bool)
+        return out
+    return _LETTER[c]
+
+
+def _once(c: np.ndarray) -> np.ndarray:
+    """With one space for each run of spaces."""
+    space = c == 32
+    keep = np.ones(len(c), bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    return out[keep]
+    return c[keep]
 
 
-def _grams(c: np.ndarray) -> np.ndarray:
-    """Bucket numbers of the 1- to 3-grams of a piece's letters."""
+def _grams(c: np.ndarray, known: int = 0) -> np.ndarray:
+    """Bucket numbers of the 1- to 3-grams of letters that end behind the first `known` (2 at most) of them."""
     h1 = c * np.uint32(0x9E3779B1)
     h2 = (h1[:-1] ^ (h1[:-1] >> 15)) * np.uint32(0x85EBCA6B) + c[1:] * np.uint32(0xC2B2AE35)
     h3 = (h2[:-1] ^ (h2[:-1] >> 13)) * np.uint32(0x27D4EB2F) + c[2:] * np.uint32(0x165667B1)
-    return np.concatenate([h >> np.uint32(16) for h in (h1, h2, h3)])
+    return np.concatenate([h >> np.uint32(16) for h in (h1[known:], h2[max(0, known - 1) :], h3)])
+
 
+def counts_of(text: str | None, piece: int = PIECE) -> np.ndarray | None:
+    """The bucket numbers of a short text, how often each bucket occurs for a long one; None if it has no letter.
 
-def counts_of(text: str | None) -> np.ndarray | None:
-    """The bucket numbers of a short text, how often each bucket occurs for a long one; None if it has no letter."""
-    if text and len(text) <= PIECE:
-        c = _letters(text)
+    Pieces carry the last two letters over, so that the counts are those of the whole text."""
+    if text and len(text) <= piece:
+        c = _once(_codes(f" {text} "))
         return _grams(c) if len(c) > 1 else None
-    total, some = np.zeros(BUCKETS, np.int64), False
-    for i in range(0, len(text or ""), PIECE - 2):
-        c = _letters(text[i : i + PIECE])
-        if len(c) > 1:
-            some, total = True, total + np.bincount(_grams(c), minlength=BUCKETS)
+    total, last, some = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint32), False
+    for i in range(0, len(text or ""), piece):
+        part = text[i : i + piece]
+        c = _once(np.concatenate([last, _codes(f" {part}" if not i else part), _LETTER[[32]][: i + piece >= len(text)]]))
+        total += np.bincount(_grams(c, len(last)), minlength=BUCKETS)
+        some, last = some or len(c) > 1, c[-2:]
     return total if some else None
 
 

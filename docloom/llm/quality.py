@@ -10,7 +10,7 @@ Scores are calibrated to what the training labels say: equal weight for each tra
 
 Defined results: a null or blank text has no features and gets the score of the intercept alone (the base rate). Labels
 of documents that occur several times count each time. No labels at all: every score is 0.5. Very long texts are read
-whole in pieces. Other columns don't matter. An empty table gives no rows.
+whole, in pieces with the same features. Other columns don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,31 +30,75 @@ BUCKETS, DIM, EPOCHS, RATE, SEED, PIECE, THRESHOLD = 1 << 15, 8, 6, 0.5, 7, 1 <<
 MAX_LABELLED = 10_000
 
 
-def _features(text: str) -> np.ndarray:
-    c = np.frombuffer(f" {' '.join(text.split())} ".encode("utf-32-le"), np.uint32)
-    mul = lambda h, x: (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + x * np.uint32(0x9E3779B1)
-    h = mul(np.uint32(0) * c[:-1] + np.uint32(3), c[:-1]) if len(c) > 3 else np.zeros(0, np.uint32)
-    h2 = mul(h[:-1], c[1 : len(h)]) if len(h) > 1 else np.zeros(0, np.uint32)
+def _mixed(h, x):
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + x * np.uint32(0x9E3779B1)
+
+
+def _grams(c: np.ndarray, behind: int = 0) -> list[np.ndarray]:
+    """Hashes of the 3- to 5-grams of characters, but for those that begin in the last `behind` characters."""
+    n = len(c) - behind
+    if len(c) < 3 or n < 1:
+        return []
+    h = _mixed(_mixed(np.full(1, 3, np.uint32), c[:-1]), c[1:])
     out = []
-    last = h2
-    for n in (3, 4, 5):
-        if len(c) < n or len(last) < 2:
+    for k in (3, 4, 5):
+        if len(c) < k:
             break
-        last = mul(last[: len(c) - n + 1], c[n - 1 : n - 1 + len(last)][: len(last[: len(c) - n + 1])])
-        out.append(last)
-    # words: a sum over each word of characters times powers of an odd number, mixed
-    space = c == 32
-    if len(c) > 2:
-        begin = np.nonzero(space[:-1] & ~space[1:])[0] + 1
+        h = _mixed(h[: len(c) - k + 1], c[k - 1 :])
+        out.append(h[:n])
+    return out
+
+
+class _Words:
+    """Hashes of the words of a text that comes in pieces: a sum over a word's characters times powers, mixed with its length."""
+
+    def __init__(self):
+        self.sum, self.size, self.last = np.uint32(0), 0, None  # of the word that is open; the word before
+
+    def __call__(self, c: np.ndarray, end: bool) -> list[np.ndarray]:
+        word = c != 32
+        begin = np.nonzero(word & ~np.append(self.size > 0, word[:-1]))[0]
+        close = np.nonzero(~word & np.append(self.size > 0, word[:-1]))[0]  # the space behind a word
+        at = np.arange(len(c)) + self.size
         if len(begin):
-            ends = np.nonzero(~space[:-1] & space[1:])[0] + 1
-            at = np.arange(len(c), dtype=np.int64) - np.repeat(np.concatenate([[0], begin]), np.diff(np.concatenate([[0], begin, [len(c)]])))
-            weighed = (c.astype(np.uint32) ^ np.uint32(0x5BD1E995)) * _POWERS[np.minimum(at, 255)]
-            weighed[space] = 0
-            sums = np.add.reduceat(weighed, begin, dtype=np.uint32)
-            words = mul(sums, (ends - begin).astype(np.uint32))
-            out += [words, np.full(np.count_nonzero(words[1:] == words[:-1]), _AGAIN)]
-    return np.concatenate(out) >> np.uint32(17) if out else np.zeros(0, np.uint32)
+            at[begin[0] :] = np.arange(begin[0], len(c)) - np.repeat(begin, np.diff(np.append(begin, len(c))))
+        weighed = np.where(word, (c ^ np.uint32(0x5BD1E995)) * _POWERS[np.minimum(at, 255)], np.uint32(0))
+        total = np.append(np.uint32(0), np.cumsum(weighed, dtype=np.uint32))
+        if self.size:
+            sums, sizes = total[close] - np.append(np.uint32(-int(self.sum) & 0xFFFFFFFF), total[begin])[: len(close)], close - np.append(-self.size, begin)[: len(close)]
+        else:
+            sums, sizes = total[close] - total[begin[: len(close)]], close - begin[: len(close)]
+        if len(c) and word[-1]:
+            first = int(begin[-1]) if len(begin) else 0
+            carried, before = (np.uint32(0), 0) if len(begin) else (self.sum, self.size)
+            self.sum, self.size = np.uint32((int(carried) + int(total[-1]) - int(total[first])) & 0xFFFFFFFF), before + len(c) - first
+        elif len(c):
+            self.sum, self.size = np.uint32(0), 0
+        if end and self.size:
+            sums, sizes = np.append(sums, self.sum), np.append(sizes, self.size)
+        words = _mixed(sums.astype(np.uint32), sizes.astype(np.uint32))
+        if not len(words):
+            return []
+        before = words[:-1] if self.last is None else np.append(self.last, words[:-1])
+        again = np.count_nonzero(words[len(words) - len(before) :] == before)
+        self.last = words[-1:]
+        return [words, np.full(again, _AGAIN)]
+
+
+def _features(text: str, piece: int = 0) -> Iterator[np.ndarray]:
+    """Buckets of the features of a whole text, piece by piece. Pieces share characters, and words go on in the next, so
+    that together they are what the text has in one piece."""
+    piece = piece or PIECE
+    plain, words = f" {' '.join(text.split())} ", _Words()
+    if len(plain) < 3:
+        return
+    for i in range(0, len(plain), piece):
+        part = plain[i : i + piece + 4]
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        behind = max(0, len(part) - piece)
+        found = _grams(c, behind) + words(c[: len(c) - behind], i + piece >= len(plain))
+        if found:
+            yield np.concatenate(found) >> np.uint32(17)
 
 
 #: The feature of a word that repeats the one before it.
@@ -67,8 +111,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text or not text.strip():
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     total = np.zeros(BUCKETS, np.int64)
-    for i in range(0, len(text), PIECE):
-        total += np.bincount(_features(text[i : i + PIECE]), minlength=BUCKETS)
+    for found in _features(text):
+        total += np.bincount(found, minlength=BUCKETS)
     at = np.nonzero(total)[0]
     return at, (total[at] / total[at].sum()).astype(np.float32) if len(at) else np.zeros(0, np.float32)
 
@@ -109,10 +153,10 @@ def train(labelled: DataFrame, key: str = "doc_id", text_col: str = "text", labe
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = [features(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([a.astype(np.int16).tobytes() for a, _ in found], pa.binary()), pa.array([w.astype(np.float16).tobytes() for _, w in found], pa.binary())], ["key", "label", "at", "w"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([a.astype(np.int16).tobytes() for a, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["key", "label", "at", "w"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(k, np.frombuffer(a, np.int16).astype(np.int64), np.frombuffer(w, np.float16).astype(np.float32), y) for b in batches for k, y, a, w in zip(*(c.to_pylist() for c in b.columns))]
+        rows = [(k, np.frombuffer(a, np.int16).astype(np.int64), np.frombuffer(w, np.float32), y) for b in batches for k, y, a, w in zip(*(c.to_pylist() for c in b.columns))]
         rows.sort(key=lambda r: (r[0], r[3], len(r[1])))
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in fit([r[1:] for r in rows])], ["v", "o", "b"])
 
@@ -136,8 +180,7 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
             p = np.empty(batch.num_rows)
             for k, text in enumerate(batch.column(at).to_pylist()):
                 total, n = 0.0, 0
-                for i in range(0, len(text or ""), PIECE):
-                    found = _features(text[i : i + PIECE])
+                for found in _features(text or ""):
                     total, n = total + float(lead[found].sum(dtype=np.float64)), n + len(found)
                 p[k] = 1 / (1 + np.exp(-np.clip(total / max(1, n) + float(base[1] - base[0]), -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
