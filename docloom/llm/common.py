@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,24 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read from there; a folder of its own only if none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. Where none is set, a local session takes one of its own; a cluster's
+    must be named in spark.checkpoint.dir."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what reads it prunes columns and doesn't work it out again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow in batches of BATCH_BYTES at most (a row alone may be larger); for df.transform."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(key).rstrip("b") or 0) <= BATCH_BYTES:
-        conf.set(key, f"{BATCH_BYTES}b")
+    """df.mapInArrow in batches of BATCH_BYTES at most (a row alone may be larger); for df.transform. The bound is a setting
+    of the session that is read when a query runs, so a session with larger batches is set to BATCH_BYTES, and stays so."""
+    own = df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < own <= BATCH_BYTES:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return df.mapInArrow(function, schema)
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import random
+import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +198,24 @@ def test_items_without_an_id(spark):
     assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), bench).collect()] == [2]
 
 
+def test_leaks_with_text_ids_and_their_places(spark):
+    item = "the quick brown fox jumps over the lazy dog and then rests for a while"
+    bench = spark.createDataFrame([("a-1", item), ("b", "q" * 30)], "item_id string, text string")
+    edited = item.replace("jumps over", "jumpsy ovr")
+    rows = [(1, "xx " + item + " yy"), (2, "some words, " + edited + " more words"), (3, "q" * 5000), (4, "q" * 29)]
+    got = {(r.id, r.item_id): r for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    place = lambda r: decontaminate.normal(dict(rows)[r.id])[r.start : r.end]
+    assert set(got) == {(1, "a-1"), (2, "a-1"), (3, "b"), (4, "b")}
+    assert place(got[1, "a-1"]) == item and place(got[2, "a-1"]) == edited and got[2, "a-1"].edits == 2 and (got[4, "b"].start, got[4, "b"].end, got[4, "b"].edits) == (0, 29, 1)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", min_size=1, max_size=12), st.text("ab", max_size=25))
+def test_myers_equals_brute_force(item, text):
+    edits, end = decontaminate.myers(item, text)
+    assert edits == distance(item, text) and distance(item, text[:end]) == edits
+
+
 def test_flac_round_trip(spark):
     rng = random.Random(4)
     payloads = [b"\0" * 64, bytes(range(256)) * 3, bytes(rng.randrange(256) for _ in range(64 * 19)), (b"x" * 255 + b"\xff") * 9, bytes([128] * 200 + [0] + [128] * 55) * 3]
@@ -288,6 +308,68 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(table, language.train(table.limit(0))).collect()} == {"und"}
 
 
+odd_texts = st.text(st.sampled_from("abé𝒳 \n.1▁"), max_size=60)
+
+
+@settings(max_examples=150, deadline=None)
+@given(odd_texts, st.integers(1, 9))
+def test_pieces_of_long_texts_count_like_the_whole(text, piece):
+    whole, part = language.counts_of(text), language.counts_of(text, piece)
+    counts = lambda x: x if x is None or x.dtype == np.int64 else np.bincount(x, minlength=language.BUCKETS)
+    assert (whole is None) == (part is None) and (whole is None or (counts(whole) == counts(part)).all())
+    of = lambda n: np.sort(np.concatenate([np.zeros(0, np.uint32), *quality._features(text, n)]))
+    assert (of(1000) == of(piece)).all()
+
+
+def test_features_are_those_of_the_docstring():
+    words, grams = ["ab", "ab", "c"], " ab ab c "
+    want = sum(len({grams[i : i + n] for i in range(len(grams) - n + 1)}) for n in (3, 4, 5)) + 2 + 1
+    found = np.concatenate(list(quality._features("ab\nab  c")))
+    assert len(set(found.tolist())) == want and len(found) == sum(len(grams) - n + 1 for n in (3, 4, 5)) + len(words) + 1
+
+
+def naive_bayes(rows, text):
+    """Posteriors by dictionaries of hashed n-grams."""
+    def bucket(g):
+        full, h = 2**32 - 1, 0
+        for n, x in enumerate(map(ord, g)):
+            h = x * 0x9E3779B1 & full if not n else ((h ^ h >> 15) * 0x85EBCA6B + x * 0xC2B2AE35) & full if n == 1 else ((h ^ h >> 13) * 0x27D4EB2F + x * 0x165667B1) & full
+        return h >> 16
+
+    def grams(t):
+        c = re.sub(" +", " ", "".join(x if x.isalpha() else " " for x in f" {t.lower()} "))
+        return [bucket(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)]
+
+    langs, logs = sorted({x for _, x in rows}), {}
+    for x in langs:
+        own = Counter(g for t, y in rows if y == x for g in grams(t))
+        total = sum(own.values()) + language.SMOOTH * language.BUCKETS
+        seen = grams(text)
+        logs[x] = sum(np.log((own[g] + language.SMOOTH) / total) for g in seen) * min(1, language.TEMPER / len(seen)) + np.log(sum(y == x for _, y in rows) / len(rows))
+    top = max(logs.values())
+    return {x: np.exp(v - top) / sum(np.exp(w - top) for w in logs.values()) for x, v in logs.items()}
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(16)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12)))
+    rows = [(say(letters), name) for letters, name in (("abcde", "x"), ("cdefg", "y"), ("efgab", "z")) for _ in range(12)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    tests = [say("abcdefg") for _ in range(30)]
+    found = {r.text: r for r in language.predict(spark.createDataFrame([(t,) for t in tests], "text string"), language.train(table)).collect()}
+    for t in tests:
+        want = naive_bayes(rows, t)
+        assert abs(found[t].score - max(want.values())) < 1e-3 and want[found[t].lang_pred] > max(want.values()) - 1e-3
+
+
+def test_a_session_may_name_its_batches_in_any_unit(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for unit in ("64m", "1k", "2097152"):
+        spark.conf.set(key, unit)
+        assert language.predict(docs(spark, ODD), (["x"], np.zeros((language.BUCKETS + 1, 1), np.float32))).count() == len(ODD)
+    assert spark.conf.get(key) == "2097152"
+
+
 def test_url_verdicts(spark):
     urls = ["http://a.com/x", "https://B.Example.com/en/1?q", "https://www.example.com/en/", "http://example.com/fr/1", "http://x.net/es/1#t", "http://ynet/es/", "nothing", None, "http://net/fr/2", "ftp://u.org"]
     table = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
@@ -333,6 +415,15 @@ def test_shards(spark):
     assert sharding.interleave(table.limit(0), 10).count() == 0
 
 
+def test_shards_of_odd_sources_and_ids(spark):
+    rows = [(None, f"text {i}", ["", None, "a"][i % 3]) for i in range(300)] + [(7, "same", "")] * 30
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 11).collect()
+    assert len(got) == 330 and Counter(r.source for r in got) == {"": 130, None: 100, "a": 100}
+    for s in ("", None, "a"):
+        each = Counter(r.shard for r in got if r.source == s)
+        assert max(each.values()) - min(each.get(k, 0) for k in range(11)) <= 2
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='ad'>Buy this now.</div><article><h1>A &amp; B</h1><p><b>One  line\n here, it says.<br>more<p>Two of them, as told.</p></article><section class='comments'><div class='comment'><p>I like it.</p></div></section><footer>&copy; me</footer></body></html>"
     table = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>" + "Some words here, and more of them. " * 20_000)], "page_id long, url string, html string").selectExpr("*", "'x' AS text")
