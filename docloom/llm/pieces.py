@@ -13,16 +13,17 @@ the backward draws of all stretches of a batch run side by side in numpy along t
 
 Decoding joins the pieces' bytes and turns U+2581 back into spaces; a U+2581 of the text itself is always spelled in
 bytes, so nothing is lost. Defined results: null gives null, the empty text no pieces. Rows with a null key share one
-stream of draws. A stretch of more than LONG characters is cut there: its parts are segmented one by one.
-Repeated rows give equal pieces; other columns don't matter.
+stream of draws. A stretch of more than LONG characters isn't kept: its forward sums are made once, block by block, and
+the lattice of a block again as the draws come to it from the end, so that memory is 8 bytes for a character. Repeated rows give equal pieces; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
-from math import log
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,57 @@ class Vocabulary:
         return first.astype(np.int32), np.arange((m + 1) * n) < n, flat, back, piece[have]
 
 
+    def _ending(self, codes: np.ndarray, a: int, b: int) -> list[list[tuple[int, float, int]]]:
+        """Of each place from a + 1 to b of a stretch: (nodes back, log weight, piece) of the edges that end there, from long to short."""
+        low = max(0, a - self.longest + 1)
+        c = codes[low:b]
+        mixed, h, out = _MIX(c), np.zeros(len(c), np.uint64), [[] for _ in range(b - a)]
+        hits = []
+        for size in range(1, min(self.longest, len(c)) + 1):
+            h = (h[:-1] if size > 1 else h) * _BASE + mixed[size - 1 :]
+            skip = max(0, a + 1 - low - size)
+            found = self.look(mix64(h[skip:] + np.uint64(size)))
+            at = np.nonzero(found >= 0)[0]
+            hits.append((size, (at + skip + low + size - a - 1).tolist(), found[at].tolist(), self.logs[found[at]].tolist()))
+        for size, rows, pieces, logs in reversed(hits):
+            for r, p, w in zip(rows, pieces, logs):
+                out[r].append((size, w, p))
+        for r, edges in enumerate(out):
+            if not edges:
+                code = int(codes[a + r])
+                edges.append((1, self.byte_log * len(_raw(code)), -1 - code))
+        return out
+
+    def long_draw(self, codes: np.ndarray, stream: int, block: int = 0) -> np.ndarray:
+        """The pieces of one stretch of any length, as `sample` draws them."""
+        block, n = block or LONG, len(codes)
+        forward = array("d", [0.0])
+        for a in range(0, n, block):
+            for v, edges in enumerate(self._ending(codes, a, min(n, a + block)), a + 1):
+                terms = [w + forward[v - size] for size, w, _ in edges]
+                top = max(terms)
+                forward.append(top + log(sum([exp(t - top) for t in terms])))
+        out, v, known, edges_of = array("q"), n, n, []
+        while v:
+            if not len(out) % 4096:
+                turns = np.arange(len(out) + 1, len(out) + 4097, dtype=np.uint64) * _TURN
+                draws = ((mix64(np.uint64(stream) ^ turns) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            if v <= known:
+                known = (v - 1) // block * block
+                edges_of = self._ending(codes, known, min(n, known + block))
+            edges, u, total = edges_of[v - known - 1], draws[len(out) % 4096], forward[v]
+            share = 0.0
+            for size, w, piece in edges:
+                share += exp(w + forward[v - size] - total)
+                if share > u:
+                    break
+            out.append(piece)
+            v -= size
+        return np.frombuffer(out, np.int64)[::-1]
+
+
 _ALL = 2**64 - 1
+_TURN = np.uint64(0xD1342543DE82EF95)
 
 
 def _MIX(c):
@@ -186,26 +237,25 @@ def sample(texts: list[str | None], keys: list, vocabulary: Vocabulary, seed: in
     new[where[:-1][size > 0]] = True
     starts = np.nonzero(new)[0]
     local = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
-    if local.max() >= LONG:
-        new |= local % LONG == 0
-        starts, local = np.nonzero(new)[0], local % LONG
     sizes = np.diff(np.append(starts, len(codes)))
-    hashes = mix64(np.add.reduceat(_MIX(codes) * _POWERS[local], starts) + sizes.astype(np.uint64))
-    seen, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes = mix64(np.add.reduceat(_MIX(codes) * _POWERS[np.minimum(local, LONG - 1)], starts) + sizes.astype(np.uint64))
+    short, long = np.nonzero(sizes <= LONG)[0], np.nonzero(sizes > LONG)[0]
+    seen, example, which = np.unique(hashes[short], return_index=True, return_inverse=True)
     end = vocabulary.end
     missing = np.array([k for k, h in enumerate(seen.tolist()) if h not in end], np.int64)
     if len(missing):
-        at = example[missing]
+        at = short[example[missing]]
         vocabulary.add(codes, starts[at], sizes[at], seen[missing])
     cum, back, edge, root, first = vocabulary.cum, vocabulary.back, vocabulary.edge, vocabulary.root, vocabulary.first
-    node = np.array([end[h] for h in seen.tolist()], np.int64)[which]
+    node = np.zeros(len(starts), np.int64)
+    node[short] = np.array([end[h] for h in seen.tolist()], np.int64)[which]
     per_text = np.searchsorted(starts, where)
     own = np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{k}".encode(), digest_size=8).digest(), "big") for k in keys], np.uint64)
     count = np.diff(per_text)
     stream = np.repeat(own, count) + (np.arange(len(starts)) - np.repeat(per_text[:-1], count)).astype(np.uint64) * _BASE
-    live, drawn, steps = np.arange(len(starts)), [], np.zeros(len(starts), np.int64)
+    live, drawn, steps = short, [], np.zeros(len(starts), np.int64)
     while len(live):
-        turn = np.full(1, len(drawn) + 1, np.uint64) * np.uint64(0xD1342543DE82EF95)
+        turn = np.full(1, len(drawn) + 1, np.uint64) * _TURN
         u = (mix64(stream[live] ^ turn) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         pick = first[node[live]]
         past = np.nonzero(cum[pick] <= u)[0]
@@ -216,8 +266,12 @@ def sample(texts: list[str | None], keys: list, vocabulary: Vocabulary, seed: in
         node[live] -= back[pick]
         steps[live] += 1
         live = live[~root[node[live]]]
+    whole = [vocabulary.long_draw(codes[starts[k] : starts[k] + sizes[k]], int(stream[k])) for k in long.tolist()]
+    steps[long] = [len(x) for x in whole]
     place = np.concatenate([[0], np.cumsum(steps)])
     out = np.zeros(place[-1], np.int64)
+    for k, x in zip(long.tolist(), whole):
+        out[place[k] : place[k + 1]] = x
     for k, (of, what) in enumerate(drawn):
         out[place[of + 1] - 1 - k] = what
     offsets = place[per_text]

@@ -137,7 +137,9 @@ def test_pieces_round_trip_and_reproduce(spark):
     assert pieces.encode(table.limit(0)).count() == 0
 
 
-def test_pieces_follow_the_lattice_weights():
+@pytest.mark.parametrize("long", [4096, 2])
+def test_pieces_follow_the_lattice_weights(long, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG", long)
     own = pieces.vocabulary()
     import sentencepiece
 
@@ -159,6 +161,22 @@ def test_pieces_follow_the_lattice_weights():
         assert abs(share - w / sum(weight.values())) < 0.015
 
 
+def test_long_stretches_are_drawn_whole():
+    own, rng = pieces.vocabulary(), random.Random(17)
+    codes = np.array([ord(rng.choice("theandcouré𝒳")) for _ in range(700)], np.int64)
+    for stream in range(20):
+        want = own.long_draw(codes, stream, 10_000).tolist()
+        assert all(own.long_draw(codes, stream, block).tolist() == want for block in (1, 7, 64))
+    text = "the" + "thenandthere" * 750  # no cut in 9,000 characters; a piece runs over character 4,096 as over any like it
+    crossed = Counter()
+    for key in range(40):
+        _, ids = pieces.sample([text], [key], own)
+        ends = np.cumsum([len(own.bytes[i]) for i in ids])
+        assert pieces.decode(ids.tolist(), own) == text
+        crossed.update(k for k in (4096, 4096 + 12) if k not in set(ends.tolist()))
+    assert crossed[4096] > 10 and abs(crossed[4096] - crossed[4108]) < 18
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
