@@ -503,3 +503,15 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {*range(30), 40, 41} and all(r.lossless for r in got.values())
     assert shared in got[40].text and shared not in got[41].text and got[41].n_chars == len(got[41].text)
+
+
+def test_pipeline_without_languages_or_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pieces string"
+    rows = [(1, "some words", None, None, 10, "x"), (2, "123", None, None, 3, None), (None, None, None, None, None, None)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [1]
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
