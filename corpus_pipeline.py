@@ -15,9 +15,12 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no language that the model knows for sure. It learns from the stage's own rows with a language."""
+    """Rejects texts in no language that the model knows for sure. It learns from the stage's own rows with a language;
+    where no row has one there is no model, and only texts without a letter are rejected."""
     columns = docs.columns
     model = language.train(language.bounded(docs.where("lang is not null"), "doc_id"))
+    if not model[0]:
+        return docs.where(r"text rlike '\\p{L}'")
     return language.predict(docs, model).where(f"lang_pred != 'und' and score >= {LEAST_SCORE}").select(columns)
 
 
@@ -55,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`. Each stage's rows are written to the shared folder and read again, so that the next one,
+    which reads them several times, doesn't work them out several times."""
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = common.written(docs, f"stage-{k}")
     return docs
