@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,7 +56,14 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     own = df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
     if not 0 < own <= BATCH_BYTES:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return df.mapInArrow(function, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # the worker lives on in other stages, beside their own workers
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -36,19 +36,19 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StructType
 
 from .common import in_arrow, mix64, partitions, runs, utf8
 
 LENGTH, K, SALT, SHARD_BYTES = 100, 32, 4096, 1 << 19
 #: Text that a task settles at once; bytes of the sample that finds hot anchors; how many different fragments make an
 #: anchor hot there (or what share of the sampled texts), and over how many cells its fragments are dealt.
-BLOCK_BYTES, SAMPLE_BYTES, HOT, HOT_SHARE, HOT_CELLS = 16 << 20, 32 << 20, 64, 500, 64
+BLOCK_BYTES, SAMPLE_BYTES, HOT, HOT_SHARE, HOT_CELLS = 6 << 20, 32 << 20, 64, 500, 64
 _B, _C = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _ALL = 2**64 - 1
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 #: A longer text is hashed in segments.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 
 def rolling(data: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
     """(first row, last row, bytes, bounds) of stretches of rows of a batch; a binary column holds packed texts."""
     data, starts, ends = utf8(batch.column(column))
     packed = pa.types.is_binary(batch.column(column).type)
-    for i, j in runs(starts, ends, 1 << 19 if packed else 1 << 20):
+    for i, j in runs(starts, ends, 1 << 18 if packed else 1 << 19):
         parts = [data[a:b].tobytes() for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]
         parts = list(map(zstandard.ZstdDecompressor().decompress, parts)) if packed else parts
         yield i, j, np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -520,9 +520,9 @@ def _kept(first: np.ndarray, last: np.ndarray, size: int, length: int) -> tuple[
     return list(zip(edges[::2], edges[1::2])), int((ends - begins).sum()), len(begins)
 
 
-def _spliced(own: DataFrame, stand: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc, n_removed, n_spans, kept_sha256, kept): of each text that stands for its copies and repeats something."""
-    kind = own.schema["doc"].dataType.simpleString()
+def _spliced(packed: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """(doc, n_removed, n_spans, kept_sha256): of each text that stands for its copies and repeats something."""
+    kind = packed.schema["doc"].dataType.simpleString()
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -531,17 +531,17 @@ def _spliced(own: DataFrame, stand: DataFrame, length: int, k: int) -> DataFrame
             at, flat = at - at[0], lists.flatten()
             first, last = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             for i, j, data, bounds in _texts(batch, 1):
-                rows, whole = [], data.tobytes()
+                rows, whole = [], memoryview(data)
                 for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), i):
-                    text = whole[a:b]
-                    parts, removed, spans = _kept(first[at[r] : at[r + 1]], last[at[r] : at[r + 1]], len(text), length)
-                    kept = b"".join(text[a:b] for a, b in parts)
-                    rows.append((removed, spans, hashlib.sha256(kept).hexdigest(), "".join(text[a:b].decode("utf-8", "ignore") for a, b in parts)))
-                a, b, c, d = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d, pa.string())], ["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    parts, removed, spans = _kept(first[at[r] : at[r + 1]], last[at[r] : at[r + 1]], b - a, length)
+                    digest = hashlib.sha256()
+                    for x, y in parts:
+                        digest.update(whole[a + x : a + y])
+                    rows.append((removed, spans, digest.hexdigest()))
+                a, b, c = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["doc", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = repeated_spans(own, stand, length, k)
-    return _packed(own).join(spans.hint("shuffle_hash"), "doc").select("doc", "z", "spans").transform(in_arrow, splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return packed.join(spans.hint("shuffle_hash"), "doc").select("doc", "z", "spans").transform(in_arrow, splice, f"doc {kind}, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column | None, bool]:
@@ -557,43 +557,72 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column | None,
     return F.concat(ordered, F.lit("\0"), F.md5(F.coalesce(text_col, F.lit("")))), True
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
-    """docs' rows as (doc, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is null where a text stays as it is."""
-    (name, again), ident, text = _named(docs, id_col, text_col), F.col(id_col), F.col(text_col).alias("text")
-    if name is None:
-        return _deduplicated(docs.select(ident.alias("doc"), text), length, k, again)
-    return _deduplicated(docs.select(ident.alias("id"), name.alias("doc"), text), length, k, again).drop("doc").withColumnRenamed("id", "doc")
-
-
-def _deduplicated(docs: DataFrame, length: int, k: int = K, again: bool = False) -> DataFrame:
-    """docs: (doc, text) or (id, doc, text), where doc names one text; again: it may come twice. Results have its columns
-    but for the text. A character that loses some of its bytes goes from `kept` with all of them; the digest is of the bytes."""
+def _parts(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """(rows: (id, doc, n_bytes, sha, copy), packed texts, spans of texts that stand for their copies, what names a row)."""
+    name, again = _named(docs, id_col, text_col)
+    name = F.col(id_col) if name is None else name
+    named = docs.select(F.col(id_col).alias("id"), name.alias("doc"), F.col(text_col).alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    names = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*names, size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    rows = named.select("id", "doc", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     least = rows.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("stands"))
-    own = docs.select("doc", "text").where(f"doc is not null and octet_length(text) >= {length}")
-    changed = _spliced(own.dropDuplicates(["doc"]) if again else own, least.select(F.col("stands").alias("doc")), length, k)
+    own = named.select("doc", "text").where(f"doc is not null and octet_length(text) >= {length}")
+    own = own.dropDuplicates(["doc"]) if again else own
     copy = F.coalesce((F.col("n_bytes") >= length) & (F.col("doc") > F.col("stands")), F.lit(False))
-    empty = hashlib.sha256(b"").hexdigest()
-    return rows.join(least, "sha", "left").join(changed, "doc", "left").select(
-        *names, "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
+    return rows.join(least, "sha", "left").withColumn("copy", copy), _packed(own), repeated_spans(own, least.select(F.col("stands").alias("doc")), length, k), name
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
+    """docs' rows as (doc, n_bytes, n_removed, n_spans, kept_sha256); the digest is of the bytes that stay."""
+    rows, packed, spans, _ = _parts(docs, id_col, text_col, length, k)
+    none, copy = hashlib.sha256(b"").hexdigest(), F.col("copy")
+    return rows.join(_spliced(packed, spans, length), "doc", "left").select(
+        F.col("id").alias("doc"), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(copy, F.lit(none)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
-    """docs with texts cut by their repeated spans (and chars_col, where there is one, counted again). No row goes."""
-    name, again = _named(docs, id_col, text_col)
-    name = F.col(id_col) if name is None else name
-    cut = _deduplicated(docs.select(name.alias("doc"), F.col(text_col).alias("text")), length, again=again).where("kept is not null").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
-    both = docs.join(cut.dropDuplicates(["__doc"]) if again else cut, name == F.col("__doc"), "left")
-    text = F.coalesce("__kept", text_col)
-    new = {text_col: text} | ({chars_col: F.when(F.col("__kept").isNull(), F.col(chars_col)).otherwise(F.char_length(text)).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
-    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH, k: int = K) -> DataFrame:
+    """docs with texts cut by their repeated spans (and chars_col, where there is one, counted again). No row goes.
+
+    A character that loses some of its bytes goes with all of them. Texts move compressed, once to be sorted and once to be cut."""
+    rows, _, spans, name = _parts(docs, id_col, text_col, length, k)
+    at, columns = docs.columns.index(text_col), docs.columns
+    marks = rows.where("copy").select(F.col("doc").alias("__doc"), F.lit(None).cast(spans.schema["spans"].dataType).alias("__spans"), F.lit(True).alias("__copy")).distinct()
+    marks = marks.unionByName(spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"), F.lit(False).alias("__copy")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = [press(t.as_buffer()) if t.is_valid else None for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if n == at else c for n, c in enumerate(batch.columns)], batch.schema.names)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts, chars = [], []
+            for z, spans, copy in zip(batch.column(at), batch.column(len(columns)), batch.column(len(columns) + 1).to_pylist()):
+                text = None if not z.is_valid else b"" if copy else open_(z.as_buffer())
+                kept = text
+                if spans.is_valid:
+                    found = spans.values
+                    parts, *_ = _kept(found.field(0).to_numpy(), found.field(1).to_numpy(), len(text), length)
+                    kept = b"".join([text[a:b] for a, b in parts])
+                texts.append(None if kept is None else kept.decode("utf-8", "ignore"))
+                chars.append(len(texts[-1]) if copy or spans.is_valid else None)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == at else c for n, c in enumerate(batch.columns[: len(columns)])] + [pa.array(chars, pa.int64())], [*columns, "__chars"])
+
+    packed_schema, schema = StructType(), StructType()
+    for f in docs.schema:
+        packed_schema.add(f.name, "binary" if f.name == text_col else f.dataType)
+        schema.add(f.name, f.dataType)
+    packed = docs.withColumn("__doc", name).transform(in_arrow, pack, packed_schema.add("__doc", spans.schema["doc"].dataType))
+    both = packed.join(marks.hint("shuffle_hash"), "__doc", "left").select(*columns, "__spans", "__copy")
+    cut = both.transform(in_arrow, unpack, schema.add("__chars", "long"))
+    if chars_col in columns:
+        cut = cut.withColumn(chars_col, F.coalesce(F.col("__chars").cast(docs.schema[chars_col].dataType), chars_col))
+    return cut.select(columns)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicated(docs).drop("kept").withColumnRenamed("doc", "doc_id")
+    return deduplicated(docs).withColumnRenamed("doc", "doc_id")
