@@ -33,10 +33,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, checkpointed, in_arrow, mix64, partitions, runs, utf8
+from .common import by_group, checkpointed, in_arrow, mix64, partitions, pressed, runs, utf8
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -353,7 +354,7 @@ def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verified(members: DataFrame, width: int) -> DataFrame:
-    """members: (family, blocks, set, text). (u, v): links of sets that connect what chains of similar sets connect."""
+    """members: (family, blocks, set, text as `pressed` gives it). (u, v): links of sets that connect what chains of similar sets connect."""
     own = F.pmod(F.xxhash64("family", "set"), F.col("blocks")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.withColumns({"own": own, "other": others}).select("family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "set", "text")
@@ -361,7 +362,8 @@ def verified(members: DataFrame, width: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
             own, ids = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in (3, 4))
-            sets = [shingles(t.encode(), width) for p in parts for t in p.column(5).to_pylist()]
+            open_ = zstandard.ZstdDecompressor().decompress
+            sets = [shingles(open_(t), width) for p in parts for t in p.column(5).to_pylist()]
             u, v = similar(sets)
             if own[0] != own[-1]:  # links within a block are given by its group with itself; here one from each component
                 lone, root, cut = np.ones(len(ids), bool), np.arange(len(ids)), int(np.argmax(own != own[0]))
@@ -397,7 +399,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     families = placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("family", blocks.alias("blocks"))
     members = checkpointed(placed.join(families, "family").select("family", "blocks", "set", "key"))
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = pressed(docs.select(F.xxhash64(text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))).groupBy("key").agg(F.first("text").alias("text"))
     roots = components(verified(members.join(texts, "key"), width)).select(F.col("u").alias("set"), F.col("v").alias("root"))
     rooted = sets.select("set", "least").join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

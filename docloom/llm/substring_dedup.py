@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
-from .common import in_arrow, mix64, partitions, runs, utf8
+from .common import in_arrow, mix64, partitions, pressed, runs, utf8
 
 LENGTH, K, SALT, SHARD_BYTES = 100, 32, 4096, 1 << 19
 #: Text that a task settles at once; bytes of the sample that finds hot anchors; how many different fragments make an
@@ -498,15 +498,8 @@ def repeated_spans(own: DataFrame, stand: DataFrame, length: int = LENGTH, k: in
 
 
 def _packed(own: DataFrame) -> DataFrame:
-    """(doc, z): texts compressed for the one exchange that both joins read."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            data, starts, ends = utf8(batch.column(1))
-            for i, j in runs(starts, ends, 4 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([press.compress(data[a:b].tobytes()) for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())], pa.binary())], ["doc", "z"])
-
-    return own.transform(in_arrow, pack, f"doc {own.schema['doc'].dataType.simpleString()}, z binary")
+    """(doc, z): compressed texts, for the one exchange that all joins read."""
+    return pressed(own).withColumnRenamed("text", "z")
 
 
 def _kept(first: np.ndarray, last: np.ndarray, size: int, length: int) -> tuple[list[tuple[int, int]], int, int]:
@@ -590,12 +583,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = rows.where("copy").select(F.col("doc").alias("__doc"), F.lit(None).cast(spans.schema["spans"].dataType).alias("__spans"), F.lit(True).alias("__copy")).distinct()
     marks = marks.unionByName(spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"), F.lit(False).alias("__copy")))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            packed = [press(t.as_buffer()) if t.is_valid else None for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if n == at else c for n, c in enumerate(batch.columns)], batch.schema.names)
-
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -611,12 +598,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 chars.append(len(texts[-1]) if copy or spans.is_valid else None)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == at else c for n, c in enumerate(batch.columns[: len(columns)])] + [pa.array(chars, pa.int64())], [*columns, "__chars"])
 
-    packed_schema, schema = StructType(), StructType()
-    for f in docs.schema:
-        packed_schema.add(f.name, "binary" if f.name == text_col else f.dataType)
-        schema.add(f.name, f.dataType)
-    packed = docs.withColumn("__doc", name).transform(in_arrow, pack, packed_schema.add("__doc", spans.schema["doc"].dataType))
-    both = packed.join(marks.hint("shuffle_hash"), "__doc", "left").select(*columns, "__spans", "__copy")
+    schema = StructType(list(docs.schema))
+    both = pressed(docs.withColumn("__doc", name), text_col).join(marks.hint("shuffle_hash"), "__doc", "left").select(*columns, "__spans", "__copy")
     cut = both.transform(in_arrow, unpack, schema.add("__chars", "long"))
     if chars_col in columns:
         cut = cut.withColumn(chars_col, F.coalesce(F.col("__chars").cast(docs.schema[chars_col].dataType), chars_col))
