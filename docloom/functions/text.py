@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
 
-JOINT = "\ue000"  # between sentences; a private character
-
-
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
@@ -68,12 +67,16 @@ def citations(text: Column) -> Column:
     return F.concat(*[F.regexp_extract_all(text, F.lit(p), g) for p, g in C.CITATION_PATTERNS])
 
 
+#: What may begin a sentence; a word that is an abbreviation and its end (Java looks behind a bounded length alone).
+_BEGIN = r"""(?=[A-Z0-9\(\["])"""
+_ABBREVIATION = r"(?<!\S)(?i:" + "|".join(re.escape(x) for x in sorted(C.ABBREVIATIONS, key=len, reverse=True)) + ")"
+
+
 def sentences(text: Column) -> Column:
-    """Sentences of more than 5 characters. A part that ends in an abbreviation runs on into the next."""
-    parts = F.split(text, r"""(?U)(?<=[.!?])\s+(?=[A-Z0-9\(\["])""")
-    last = lambda p: F.lower(F.regexp_replace(F.regexp_extract(p, r"(?U)(\S+)\s*$", 1), r"[.!?]+$", ""))
-    joined = F.array_join(F.transform(parts, lambda p: F.concat(p, F.when(last(p).isin(C.ABBREVIATIONS), " ").otherwise(JOINT))), "")
-    return F.filter(F.transform(F.split(joined, JOINT), strip), lambda s: F.length(s) > 5)
+    """Sentences of more than 5 characters. A part that ends in an abbreviation runs on into the next, after one space."""
+    text = F.regexp_replace(strip(text), rf"(?U)({_ABBREVIATION}[.!?]++)\s+{_BEGIN}", "$1 ")
+    parts = F.split(text, rf"(?U)(?<=[.!?])\s+{_BEGIN}(?<!{_ABBREVIATION}[.!?]{{1,40}}\s{{1,1}})")
+    return F.filter(parts, lambda s: F.length(s) > 5)
 
 
 def within_limit(parts: Column) -> Column:
@@ -93,7 +96,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def evaluation_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.?!])\s+(?=[A-Z])"), strip), lambda s: F.length(s) > 10)
+    return F.filter(F.split(strip(text), r"(?U)(?<=[.?!])\s+(?=[A-Z])"), lambda s: F.length(s) > 10)
 
 
 def truncated(text: Column, n: int = 400) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
+from ..lineage import checkpointed
 from ..operators import metrics, pages, vectors
 
 
@@ -25,27 +26,34 @@ def level(value: int) -> dict:
 
 
 def preprocess(page_rows: DataFrame) -> DataFrame:
-    """One row a document: what cleaning, typing, sections, sentences and citations of its pages give."""
-    typed = pages.classified(page_rows)
-    sections = pages.sections(typed)
-    sentences = pages.sentences(sections).groupBy("doc_id").agg(F.count("*").alias("total_sentences"))
-    counted = typed.groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.first("header").alias("repeated_header"))
-    listed = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section", "text", "page_range"))).alias("sections"))
-    out = counted
-    for part in (pages.histogram(typed), listed, sentences, pages.summary_text(sections).withColumnRenamed("text", "summary_text"), pages.metadata_text(typed), pages.unique_citations(pages.citations(typed))):
-        out = out.join(part, "doc_id", "left")
+    """One row a document: what cleaning, typing, sections, sentences and citations of its pages give.
+
+    Typed pages are written once and read by every part; sections, which also give sentences, likewise."""
+    typed = checkpointed(pages.classified(page_rows))
+    sections = checkpointed(pages.sections(typed))
+    ordered = F.array_sort(F.collect_list(F.struct("page_index", "page_type", "text")))
+    whole = typed.groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.first("header").alias("repeated_header"), ordered.alias("pages"), *[F.count_if(F.col("page_type") == t).alias(t) for t in C.PAGE_TYPES])
+    texts = lambda keep: F.transform(F.filter("pages", keep), lambda p: p["text"])
+    metadata = texts(lambda p: p["page_type"] == "metadata")
+    out = whole.withColumns({"metadata_text": F.array_join(metadata, "\n\n"), "cited": X.citations(F.array_join(texts(lambda p: F.lit(True)), " "))}).drop("pages")
+    found = out.select("doc_id", F.posexplode("cited").alias("ord", "citation"))
+    at = F.array_position(F.array(*map(F.lit, C.SUMMARY_SECTIONS)), F.col("section"))
+    listed = sections.withColumn("at", at).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "section", "text", "page_range"))).alias("sections"), F.sum(F.size(X.within_limit(X.sentences(F.col("text"))))).alias("total_sentences"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("at") > 0) & (F.col("text") != ""), F.struct("at", "section", "text")))), lambda p: F.concat(F.lit("["), F.upper(p["section"]), F.lit("]\n"), p["text"])), "\n\n").alias("summary_text"),
+    )
+    out = out.drop("cited").join(listed, "doc_id", "left").join(pages.unique_citations(found), "doc_id", "left")
     return out.withColumns({
-        "total_sentences": F.coalesce("total_sentences", F.lit(0).cast("long")), "summary_text": F.coalesce("summary_text", F.lit("")), "metadata_text": F.coalesce("metadata_text", F.lit("")),
+        "total_sentences": F.coalesce("total_sentences", F.lit(0).cast("long")), "summary_text": F.coalesce("summary_text", F.lit("")),
         "total_found": F.coalesce("total_found", F.lit(0).cast("long")), "unique_citations": F.coalesce("unique_citations", F.array().cast("array<string>")),
     }).withColumn("summary_words", X.word_count(F.col("summary_text")))
 
 
 def ranked_sentences(page_rows: DataFrame, top_n: int, encode=vectors.hashed) -> DataFrame:
-    """(doc_id, pos, section, text) of each document's chosen sentences, in document order."""
+    """(doc_id, section, sid, pos, text, score) of each document's chosen sentences; pos is their place in the document."""
     rows = pages.flattened(pages.sentences(pages.sections(pages.classified(page_rows))))
     questions = [(n, [float(x) for x in v]) for (n, _), v in zip(C.INTENTS, encode([t for _, t in C.INTENTS]))]
-    chosen = vectors.select(vectors.embedded(rows, encode=encode), questions, top_n)
-    return rows.join(chosen.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
+    return vectors.select(vectors.embedded(rows, encode=encode), questions, top_n)
 
 
 def summarize(page_rows: DataFrame, value: int = 4, encode=vectors.hashed, generate=None) -> DataFrame:
