@@ -34,6 +34,8 @@ def chunk(text: str, most: int = C.CHUNK_MAX, target: int = C.CHUNK_TARGET, leas
     """(index, text, words, start, end, section) of each chunk; places are those of the chunks laid end to end."""
     text = text.strip()
     out: list[tuple] = []
+    if not text:
+        return out
     if _count(text) <= most:
         return [(0, text, _count(text), 0, len(text), _section(text))]
     at = 0
@@ -86,14 +88,25 @@ def _section(text: str) -> str | None:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, index, text, word_count, char_start, char_end, section): the chunks of every document; a null text is empty."""
+    """(id, index, text, word_count, char_start, char_end, section): the chunks of every document; a null or blank text has none."""
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 rows = [(k, *c) for k, t in enumerate(part.column(1).to_pylist()) for c in chunk(t or "")]
-                k, *columns = zip(*rows)
+                k, *columns = zip(*rows) if rows else [()] * 7
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), *(pa.array(c, t) for c, t in zip(columns, kinds))], [id_col, "index", "text", "word_count", "char_start", "char_end", "section"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], [id_col, "index", "text", "word_count", "char_start", "char_end", "section"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(fold, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(fold, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+
+
+def document_chunks(processed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Chunks of processed documents: of the summary's text, else the text, else the sections' texts in their order, as far
+    as the columns summary_text, text and sections are there. source_file is the file name, or `unknown`."""
+    texts = [F.col(c) for c in ("summary_text", "text") if c in processed.columns]
+    if "sections" in processed.columns:
+        texts.append(F.array_join(F.transform(F.array_sort("sections"), lambda x: x["text"]), "\n\n"))
+    name = F.coalesce("filename", F.lit("unknown")) if "filename" in processed.columns else F.lit("unknown")
+    made = chunks(processed.select(F.struct(F.col(id_col).alias("id"), name.alias("file")).alias("__key"), F.coalesce(*texts).alias("__text")), "__key", "__text")
+    return made.select(F.col("__key.id").alias(id_col), *[c for c in made.columns if c != "__key"], F.col("__key.file").alias("source_file"))

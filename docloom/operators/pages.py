@@ -23,7 +23,9 @@ def doc_stats(pages: DataFrame) -> DataFrame:
 
 
 def text_based(pages: DataFrame, sample: int = 3) -> DataFrame:
-    return pages.where(F.col("page_index") < sample).groupBy("doc_id").agg(F.coalesce(F.avg(F.length(X.strip(F.col("text")))) > 100, F.lit(False)).alias("is_text_based"))
+    """Over 100 stripped characters a page among the first pages; a document without any of them is not text-based."""
+    size = F.when(F.col("page_index") < sample, F.length(X.strip(F.col("text"))))
+    return pages.groupBy("doc_id").agg(F.coalesce(F.avg(size) > 100, F.lit(False)).alias("is_text_based"))
 
 
 def ocr_confidence(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from .. import constants as C
 from ..functions import text as X
 from ..operators import chunks as chunking
 from ..operators import metrics, pages, vectors
-from . import engine
+from ..sources import ocr
+from . import engine, models
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -309,19 +310,33 @@ def diverse_select(spark, d):
     return vectors.select(chunk_vectors(spark, d), intents(spark, d), TOP_N).select("doc_id", "pos")
 
 
-@query()
+_chosen = f"({ORACLE_SQL['diverse_select']})"
+
+
+@query(f"""SELECT doc_id, total, selected, total_words, selected_words, round(selected / total, 6) AS ratio, round(coalesce(selected_words / nullif(total_words, 0), 0), 6) AS word_coverage FROM (
+ SELECT c.doc_id, count(*) AS total, count(d.pos) AS selected, CAST(sum(c.pos % 50) AS BIGINT) AS total_words, CAST(coalesce(sum(CASE WHEN d.pos IS NOT NULL THEN c.pos % 50 END), 0) AS BIGINT) AS selected_words
+ FROM ({_dup}) c LEFT JOIN {_chosen} d ON c.doc_id = d.doc_id AND c.pos = d.pos GROUP BY c.doc_id)""")
 def selection_stats(spark, d):
     rows = chunk_vectors(spark, d).withColumn("words", F.col("pos") % 50)
     return vectors.selection_stats(rows, diverse_select(spark, d)).withColumns({c: F.round(c, 6) for c in ("ratio", "word_coverage")})
 
 
+@query(f"SELECT c.doc_id, c.section, count(*) AS n FROM ({_dup}) c JOIN {_chosen} d ON c.doc_id = d.doc_id AND c.pos = d.pos GROUP BY ALL")
+def section_distribution(spark, d):
+    return vectors.section_distribution(chunk_vectors(spark, d), diverse_select(spark, d))
+
+
 # Summaries -----------------------------------------------------------------------------------------------------------
 @query()
 def extractive_summary(spark, d):
     return engine.summarize(marked(spark, d))
 
 
-@query()
+PROCESSED = f"{SUMMARY}{SENTENCES[len(SECTIONS):]}{UNIQUE[len(TYPED):]}"
+
+
+@query(f"""{PROCESSED} SELECT t.doc_id, t.total_pages, CAST(coalesce(len({words('s.text')}), 0) AS BIGINT) AS summary_words, coalesce(n.n, 0) AS total_sentences, t.header AS repeated_header, coalesce(u.total_found, 0) AS total_found, coalesce(array_to_string(u.unique_citations, '; '), '') AS unique_citations
+ FROM (SELECT doc_id, count(*) AS total_pages, max(header) AS header FROM typed GROUP BY doc_id) t LEFT JOIN summary s USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id) n USING (doc_id) LEFT JOIN uniq u USING (doc_id)""")
 def processed_documents(spark, d):
     return engine.preprocess(marked(spark, d)).select("doc_id", "total_pages", "summary_words", "total_sentences", "repeated_header", "total_found", F.array_join("unique_citations", "; ").alias("unique_citations"))
 
@@ -357,11 +372,14 @@ def ground_filter(spark, d):
 
 
 # Metrics -------------------------------------------------------------------------------------------------------------
-PAIRS = "SELECT CAST(a.conv_id AS BIGINT) AS doc_id, a.text AS source, b.text AS summary FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1"
+PAIRS = """SELECT CAST(conv_id AS BIGINT) AS doc_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn < last), '') AS source, max(text) FILTER (turn = last) AS summary
+ FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY conv_id"""
 
 
 def eval_pairs(spark, d):
-    return spark.sql(PAIRS.replace("conversations", "{c}"), c=table(spark, d, "conversations"))
+    """A conversation's last turn as the summary of all turns before."""
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    return turns.select("doc_id", F.array_join(F.slice("t", 1, F.size("t") - 1), "\n").alias("source"), F.element_at("t", -1).alias("summary"))
 
 
 _tokens = lambda x: f"SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS token FROM pairs"
@@ -386,6 +404,68 @@ def rouge_l(spark, d):
     return metrics.rouge_l(eval_pairs(spark, d))
 
 
+_known = lambda a, b: f"len(list_filter({a}, lambda w: list_contains({b}, w)))"
+_chunked = ORACLE_SQL["word_blocks"].replace("FROM documents", "FROM side")
+
+
+@query(f"""WITH pairs AS ({PAIRS}), a AS (WITH side AS (SELECT doc_id, source AS text FROM pairs) {_chunked}), b AS (WITH side AS (SELECT doc_id, summary AS text FROM pairs) {_chunked}), ends AS (SELECT doc_id, max(pos) AS last FROM a GROUP BY doc_id),
+ x AS (SELECT b.doc_id, {words('a.part')} AS s, {words('b.part')} AS c FROM b JOIN ends USING (doc_id) JOIN a ON a.doc_id = b.doc_id AND a.pos = least(b.pos, ends.last)),
+ y AS (SELECT doc_id, coalesce({_known('c', 's')} / nullif(len(c), 0), 0) AS p, coalesce({_known('s', 'c')} / nullif(len(s), 0), 0) AS r FROM x)
+ SELECT doc_id, round(avg(p), 4) AS bertscore_precision, round(avg(r), 4) AS bertscore_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 4) AS bertscore_f1 FROM y GROUP BY doc_id""")
+def bertscore_means(spark, d):
+    return models.similarity_scores(eval_pairs(spark, d))
+
+
+_sents = ORACLE_SQL["eval_sentences"].replace("FROM documents", "FROM side")
+_short = ORACLE_SQL["truncate_words"].replace("FROM documents", "FROM (SELECT doc_id, source AS text FROM pairs)")
+NLI = f"WITH pairs AS ({PAIRS}), short AS ({_short}), each AS (WITH side AS (SELECT doc_id, summary AS text FROM pairs) {_sents}), nli AS (SELECT s.doc_id, e.pos AS ord, s.text AS source_text, e.part AS sentence FROM short s LEFT JOIN each e USING (doc_id))"
+
+
+@query(f"{NLI} SELECT * FROM nli")
+def nli_pairs(spark, d):
+    return models.inference_pairs(eval_pairs(spark, d))
+
+
+@query(f"""{NLI}, judged AS (SELECT doc_id, sentence, {_known(words('sentence'), words('source_text'))} * 2 >= len({words('sentence')}) AS yes FROM nli)
+ SELECT doc_id, round(coalesce(avg(CASE WHEN sentence IS NOT NULL THEN CAST(yes AS INT) END), 0), 4) AS entailment_ratio, 0.0::DOUBLE AS contradiction_ratio, round(coalesce(avg(CASE WHEN sentence IS NOT NULL THEN CAST(NOT yes AS INT) END), 0), 4) AS neutral_ratio, count(sentence) AS num_sentences_evaluated FROM judged GROUP BY doc_id""")
+def entailment_scores(spark, d):
+    return models.entailment_scores(eval_pairs(spark, d))
+
+
+GROUP_TOKENS = 120
+
+
+@query(rf"""WITH RECURSIVE lists AS (SELECT doc_id, {_ends('text')} AS s FROM documents), parts AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS s FROM lists), sized AS (SELECT *, len({words('s')}) AS n FROM parts),
+ walk AS (SELECT doc_id, i, s, n AS held, 0 AS g FROM sized WHERE i = 0 UNION ALL
+  SELECT x.doc_id, x.i, x.s, CASE WHEN w.held + x.n > {GROUP_TOKENS} THEN x.n ELSE w.held + x.n END, CASE WHEN w.held + x.n > {GROUP_TOKENS} THEN w.g + 1 ELSE w.g END FROM walk w JOIN sized x ON x.doc_id = w.doc_id AND x.i = w.i + 1)
+ SELECT doc_id, CAST(g AS BIGINT) AS pos, string_agg(s, ' ' ORDER BY i) AS part FROM walk GROUP BY doc_id, g""")
+def token_groups(spark, d):
+    """Sentences packed to what a generator reads: here words are tokens, and there is no prefix."""
+    texts = documents(spark, d).withColumn("prefix", F.lit(""))
+    return models.groups(texts, GROUP_TOKENS + models.MARGIN).select("doc_id", F.posexplode("groups")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("col").alias("part"))
+
+
+def _lead(texts: list[str], settings: dict) -> list[str]:
+    """A generator that gives a text's first words."""
+    return [" ".join(t.split()[: settings["max_new_tokens"]]) for t in texts]
+
+
+@query()
+def hierarchical_summary(spark, d):
+    return models.summarized(documents(spark, d).withColumn("prefix", F.lit("")), _lead, "pegasus", 60, 20, input_max=300)
+
+
+@query()
+def document_chunks(spark, d):
+    return chunking.document_chunks(engine.preprocess(marked(spark, d)).withColumn("filename", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))).select("doc_id", "index", "word_count", "section", "source_file", "text")
+
+
+@query("WITH s AS (SELECT CAST(conv_id AS BIGINT) AS doc_id, turn, CASE WHEN turn % 4 = 3 THEN -1 ELSE turn * 7 END AS c FROM conversations) SELECT doc_id, round(coalesce(avg(CASE WHEN c <> -1 THEN c END), 0), 6) AS confidence FROM s GROUP BY doc_id")
+def word_confidence(spark, d):
+    found = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.collect_list(F.when(F.col("turn") % 4 == 3, "-1").otherwise((F.col("turn") * 7).cast("string"))).alias("w"))
+    return found.select("doc_id", F.round(ocr.word_confidence(F.col("w")), 6).alias("confidence"))
+
+
 _blocks = lambda x: f"CASE WHEN len({words(x)}) <= 20 THEN [{x}] ELSE list_transform(range(0, len({words(x)}), 20), lambda i: array_to_string(({words(x)})[i + 1 : i + 20], ' ')) END"
 
 

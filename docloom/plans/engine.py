@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions import text as X
 from ..lineage import checkpointed
 from ..operators import metrics, pages, vectors
+from . import models
 
 
 def levels(spark: SparkSession) -> DataFrame:
@@ -56,9 +57,9 @@ def ranked_sentences(page_rows: DataFrame, top_n: int, encode=vectors.hashed) ->
     return vectors.select(vectors.embedded(rows, encode=encode), questions, top_n)
 
 
-def summarize(page_rows: DataFrame, value: int = 4, encode=vectors.hashed, generate=None) -> DataFrame:
-    """(doc_id, summary, output_word_count). Level 4 lists the chosen sentences; others need a generator:
-    generate(DataFrame of doc_id, prefix, text, and the level) gives (doc_id, summary), whose sentences are then grounded."""
+def summarize(page_rows: DataFrame, value: int = 4, encode=vectors.hashed, generate: models.Generate | None = None, count: models.Count = models.words) -> DataFrame:
+    """(doc_id, summary, output_word_count). Level 4 lists the chosen sentences; others need a generator
+    (see `models`), whose summaries' sentences are then grounded."""
     preset = level(value)
     chosen = ranked_sentences(page_rows, preset["top_n"], encode)
     if value == 4:
@@ -70,25 +71,57 @@ def summarize(page_rows: DataFrame, value: int = 4, encode=vectors.hashed, gener
     else:
         known = preprocess(page_rows).select("doc_id", "repeated_header", "metadata_text", "unique_citations")
         text = chosen.groupBy("doc_id").agg(pages.joined("pos", "text", " ").alias("text")).join(known, "doc_id")
-        made = generate(text.select("doc_id", X.metadata_prefix(F.col("repeated_header"), F.col("metadata_text"), F.col("unique_citations")).alias("prefix"), "text"), preset)
+        asked = text.select("doc_id", X.metadata_prefix(F.col("repeated_header"), F.col("metadata_text"), F.col("unique_citations")).alias("prefix"), "text")
+        made = models.summarized(asked, generate, preset["model"], preset["max_length"], preset["min_length"], count)
         sections = F.filter("unique_citations", lambda c: F.lower(c).startswith("section "))
         allowed = F.concat_ws(" ", "metadata_text", "repeated_header", F.array_join("unique_citations", " "))
         out = made.join(known, "doc_id").select("doc_id", X.grounded(F.col("summary"), allowed, sections).alias("summary"))
     return out.withColumn("output_word_count", X.word_count(F.col("summary")))
 
 
-def evaluate(pairs: DataFrame, names: tuple[str, ...] = ("rouge",)) -> DataFrame:
-    """pairs (doc_id, source, summary) with the metrics asked for; 'bertscore' and 'entailment' need models that the caller
-    applies to metrics.block_pairs and metrics.entailment_ratios. Unknown names are ignored."""
+def evaluate(pairs: DataFrame, names: tuple[str, ...] = ("rouge", "bertscore", "entailment"), score=models.lexical_score, label=models.lexical_labels) -> DataFrame:
+    """pairs (doc_id, source, summary) with the metrics asked for, four decimals each. score and label are the backends of
+    the model metrics (see `models`); the built-in ones compare words and are no models. Unknown names are ignored."""
     out = pairs.select("doc_id")
     if "rouge" in names:
-        out = out.join(metrics.rouge1(pairs), "doc_id").join(metrics.rouge_l(pairs), "doc_id")
-    for name in ("bertscore", "entailment"):
-        if name in names:
-            raise NotImplementedError(f"{name} needs a scorer backend")
+        for found in (metrics.rouge1(pairs), metrics.rouge_l(pairs)):
+            out = out.join(found.select("doc_id", *[F.round(c, 4).alias(c) for c in found.columns[1:]]), "doc_id")
+    if "bertscore" in names:
+        out = out.join(models.similarity_scores(pairs, score), "doc_id", "left")
+    if "entailment" in names:
+        out = out.join(models.entailment_scores(pairs, label), "doc_id", "left")
     return out
 
 
+def batch_counters(rows: DataFrame) -> DataFrame:
+    """(ok, failed): files of a batch by whether they have an error."""
+    files = rows.groupBy("filepath").agg(F.max(F.col("error").isNotNull()).alias("bad"))
+    return files.agg(F.count_if(~F.col("bad")).alias("ok"), F.count_if("bad").alias("failed"))
+
+
+class RequestError(ValueError):
+    """A request that can't be met; `status` is that of the reply."""
+
+    def __init__(self, status: int, message: str):
+        super().__init__(message)
+        self.status = status
+
+
+def checked_request(filename: str | None, value, size: int, source: str | None = None) -> dict:
+    """The preset of a request for a summary, or a RequestError: not a PDF, an unknown level or model source, an empty file."""
+    if not (filename or "").lower().endswith(".pdf"):
+        raise RequestError(400, "only PDF files are taken")
+    if source not in (None, "local", "huggingface"):
+        raise RequestError(400, f"unknown model source {source!r}")
+    try:
+        preset = level(int(value))
+    except (TypeError, ValueError) as e:
+        raise RequestError(400, str(e)) from None
+    if not size:
+        raise RequestError(422, "the file is empty")
+    return preset
+
+
 def file_name(stem, value: int):
     """The download name of a summary."""
     return F.concat(F.regexp_replace(stem, r"(?i)\.pdf$", ""), F.lit(f"_{level(value)['name'].lower()}_summary.pdf"))

@@ -51,3 +51,22 @@ def exploded(documents: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(filepath, text) of plain text files, whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("filepath"), F.col("value").alias("text"))
+
+
+def text_or_pdf(spark: SparkSession, path: str, decode: Decoder) -> DataFrame:
+    """(filepath, text, error) of files: the texts of a PDF's pages that have any, by line breaks; other files whole as UTF-8.
+    A PDF without text, or that can't be read, has a null text and the error."""
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"(?i)\.pdf$"))
+    pages = pdf_pages(spark, path, decode).groupBy("filepath").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("page", "text")))), lambda x: x["text"]), "\n").alias("text"), F.max("error").alias("error"))
+    found = pages.select("filepath", F.nullif("text", F.lit("")).alias("text"), F.when(F.col("text") == "", F.coalesce("error", F.lit("no text in this PDF"))).alias("error"))
+    return found.unionByName(plain.select(F.col("path").alias("filepath"), F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("error")))
+
+
+def document_stats(pages: DataFrame) -> DataFrame:
+    """Documents of page rows as the JSON sink writes them: pages in order, counts, the first page's method, mean confidence."""
+    good = pages.where("error is null").groupBy("filename", "filepath").agg(
+        F.count("*").cast("int").alias("num_pages"), F.sum(F.length("text")).cast("int").alias("total_characters"), F.avg(F.length("text")).alias("avg_chars_per_page"),
+        F.min_by("extraction_method", "page").alias("extraction_method"), F.avg(F.nullif("ocr_confidence", F.lit(0.0))).alias("ocr_avg_confidence"),
+        F.array_sort(F.collect_list(F.struct("page", "text", "extraction_method", "ocr_confidence"))).alias("pages"),
+    )
+    return good.withColumn("ocr_avg_confidence", F.when(F.col("extraction_method") == "ocr", F.col("ocr_avg_confidence")))

@@ -1,3 +1,6 @@
+import json
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,8 +9,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions.porter import stem
 from docloom.operators import chunks, metrics, pages, vectors
-from docloom.plans import engine
-from docloom.sources import readers, writers
+from docloom.plans import engine, models
+from docloom.sources import ocr, readers, writers
 
 
 def one(spark, value, *columns):
@@ -72,7 +75,7 @@ def test_chunks_keep_words(sizes):
 
 def test_chunk_limits():
     assert len(chunks.chunk("w " * 500)) == 1
-    assert chunks.chunk("")[0][1] == ""
+    assert chunks.chunk("") == chunks.chunk(" \n ") == []
 
 
 def test_selection(spark):
@@ -139,3 +142,124 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "d.json").write_text('{"filename": "d", "pages": [{"page": 1, "text": "Learned counsel spoke."}]}')
     preprocessed_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_private_characters_are_no_sentence_ends(spark):
+    assert one(spark, "One \ue000 two. Three etc. Four  Mr.\n(Five) six.", X.sentences(F.col("t")).alias("s")).s == ["One \ue000 two.", "Three etc. Four  Mr. (Five) six."]
+
+
+def test_long_texts_are_summarised_in_groups(spark):
+    calls = []
+
+    def generate(texts, settings):
+        calls.append((len(texts), settings["max_new_tokens"], settings["min_new_tokens"]))
+        return [" ".join(t.split()[:2]) for t in texts]
+
+    rows = [(1, "", "one two three."), (2, "", " "), (3, "p ", " ".join(f"Word{i} is here now." for i in range(30))), (4, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, prefix string, text string")
+    got = {r.doc_id: r.summary for r in models.summarized(table, generate, "pegasus", 300, 100, input_max=60).collect()}
+    assert got == {1: "one two", 2: "", 3: "p p", 4: ""}
+    parts = models.groups(table.where("doc_id = 3"), 60).first().groups
+    assert " ".join(parts) == rows[2][2] and all(len(p.split()) <= 60 - 32 - 1 for p in parts)
+    empty = models.summarized(table.where("doc_id = 3"), lambda t, s: [x if len(x.split()) > 60 else "" for x in t], "pegasus", input_max=60).first().summary
+    assert empty.startswith("p Word0")
+    long = models.summarized(table.where("doc_id = 3"), lambda t, s: t, "pegasus", input_max=60).first().summary
+    assert long.startswith("p Word0") and len(long.split()) > 60
+
+
+def test_generator_settings():
+    s = models.settings("led", 2000, 1500, 100)
+    assert (s["max_new_tokens"], s["min_new_tokens"], s["num_beams"]) == (1022, 511, 4) and s["global_attention"] == [*range(64), *range(68, 100)]
+    assert models.settings("pegasus", 10, 0)["min_new_tokens"] == 1 and len(models.settings("led", 9, 9, 50)["global_attention"]) == 50
+    models.register("mine", lambda: "loaded")
+    assert models.model("mine") == "loaded"
+    with pytest.raises(ValueError):
+        models.model("none")
+
+
+def test_evaluation_with_backends(spark):
+    pairs = spark.createDataFrame([(1, "The cat sat on the mat.", "The cat sat there today."), (2, "x", "")], "doc_id long, source string, summary string")
+    got = {r.doc_id: r for r in engine.evaluate(pairs, label=lambda a, b: [0] * len(a)).collect()}
+    assert got[1].contradiction_ratio == 1 and got[1].num_sentences_evaluated == 1 and got[2].num_sentences_evaluated == 0 and got[2].rouge1_f1 == 0
+    assert got[1].bertscore_precision == 0.6 and got[1].bertscore_recall == 0.5 and got[1].rouge1_f1 == 0.5455
+    assert engine.evaluate(pairs, ("rouge", "unknown")).columns == ["doc_id", "rouge1_precision", "rouge1_recall", "rouge1_f1", "rougeL_precision", "rougeL_recall", "rougeL_f1"]
+    text = engine.evaluate(pairs).select(writers.evaluation_json(engine.evaluate(pairs).columns[1:]).alias("j")).first().j
+    assert set(json.loads(text)) == {"rouge", "bertscore", "entailment"}
+
+
+def test_centroids_of_null_and_empty_vectors(spark):
+    table = spark.createDataFrame([(1, 0, None, None), (1, 1, None, [1.0, 3.0]), (1, 2, None, [3.0, 5.0]), (2, 0, None, None), (3, 0, None, [])], "doc_id long, pos long, section string, embedding array<float>")
+    assert {r.doc_id: r.centroid for r in vectors.centroid(table).collect()} == {1: [2.0, 4.0], 2: [], 3: []}
+    got = {(r.doc_id, r.pos): (r.global_score, r.intent_scores) for r in vectors.similarities(table.join(vectors.centroid(table), "doc_id"), [("a", [1.0, 0.0])]).collect()}
+    assert got[1, 0] == got[3, 0] == (None, None) and abs(got[1, 1][1][0] - 10**-0.5) < 1e-6
+
+
+def test_mean_pooling(spark):
+    row = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1.0, 1.0, 0.0])], "t array<array<double>>, m array<double>").select(vectors.mean_pooled(F.col("t"), F.col("m")).alias("x")).first()
+    assert row.x == [2.0, 3.0]
+
+
+def test_ocr(spark):
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (40, 30)).astype(np.uint8)
+    mirrored = np.pad(image.astype(float), 60, mode="symmetric")
+    w = np.exp(-0.5 * (np.arange(-60, 61) / 15) ** 2)
+    want = (np.outer(w, w) * mirrored[10 : 10 + 121, 7 : 7 + 121]).sum() / w.sum() ** 2
+    assert abs(ocr.gaussian(image)[10, 7] - want) < 1e-9 and set(np.unique(ocr.adaptive_threshold(image))) <= {0, 255}
+    for method in ocr.METHODS:
+        made = ocr.prepared(rng.integers(0, 256, (20, 50, 3)).astype(np.uint8), method)
+        assert made.shape == (800, 2000) and set(np.unique(made)) <= {0, 255}
+    assert (ocr.resized(np.full((5, 7), 9, np.uint8), 21, 10) == 9).all()
+    assert ocr.confidence_mean(["-1", "90", "80"]) == 85 and ocr.confidence_mean(["-1"]) == 0
+
+    def read(image):
+        if image.mean() > 1000:
+            raise ValueError
+        return " text ", ["50", "-1"]
+
+    assert ocr.ocr_decoder(lambda b: [image] * 2, read)(b"") == [("text", "ocr", 50.0)] * 2
+    rows = spark.createDataFrame([([(" ab ", 0.0), ("abc", 10.0), ("x", 20.0)],), ([],)], "a array<struct<text:string,confidence:double>>")
+    assert [tuple(r.x) for r in rows.select(ocr.best_attempt(F.col("a")).alias("x")).collect()] == [("x", 20.0), ("", None)]
+
+
+def test_text_or_pdf_and_counters(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one||two")
+    (tmp_path / "b.pdf").write_bytes(b"|")
+    (tmp_path / "c.txt").write_text("plain \u00e9")
+    decode = lambda content: [(t, "text", None) for t in content.decode().split("|")]
+    rows = {r.filepath.rsplit("/", 1)[-1]: (r.text, r.error) for r in readers.text_or_pdf(spark, str(tmp_path), decode).collect()}
+    assert rows == {"a.pdf": ("one\ntwo", None), "b.pdf": (None, "no text in this PDF"), "c.txt": ("plain \u00e9", None)}
+    pages = readers.pdf_pages(spark, str(tmp_path), lambda b: decode(b) if b"one" in b else 1 / 0)
+    assert tuple(engine.batch_counters(pages).first()) == (1, 1)
+    (stats,) = readers.document_stats(pages).collect()
+    assert (stats.num_pages, stats.total_characters, [p.text for p in stats.pages]) == (3, 6, ["one", "", "two"])
+    writers.write_each(readers.document_stats(pages), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "stem=a").is_dir()
+
+
+def test_requests():
+    assert engine.checked_request("a.PDF", "2", 5)["name"] == "Detailed"
+    for args, status in ((("a.txt", 1, 5), 400), (("a.pdf", 9, 5), 400), (("a.pdf", "x", 5), 400), (("a.pdf", 1, 5, "elsewhere"), 400), (("a.pdf", 1, 0), 422)):
+        with pytest.raises(engine.RequestError) as e:
+            engine.checked_request(*args)
+        assert e.value.status == status
+
+
+def test_document_chunks_take_the_first_text_there_is(spark):
+    table = spark.createDataFrame([(1, None, "body", "a.pdf"), (2, "summary", "body", None), (3, None, " ", "c.pdf")], "doc_id long, summary_text string, text string, filename string")
+    assert sorted((r.doc_id, r.text, r.source_file) for r in chunks.document_chunks(table).collect()) == [(1, "body", "a.pdf"), (2, "summary", "unknown")]
+
+
+def test_command_line(spark, tmp_path):
+    from docloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "d.json").write_text('{"filename": "d.pdf", "pages": [{"text": ""}, {"text": ""}, {"text": ""}, {"text": "Learned counsel spoke of it. The appeal is dismissed."}]}')
+    for job in ("preprocess", "chunk", "summarize"):
+        main([job, str(tmp_path / "in"), str(tmp_path / job)])
+        assert spark.read.json(str(tmp_path / job)).count() == 1
+    for side in ("s", "t"):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "d.txt").write_text("The cat sat on the mat.")
+    main(["evaluate", "--source", str(tmp_path / "s"), "--summary", str(tmp_path / "t"), "--json", str(tmp_path / "m")])
+    assert json.loads(spark.read.json(str(tmp_path / "m")).first().metrics)["rouge"]["rouge1_f1"] == 1.0
