@@ -1,9 +1,9 @@
 """URL filters: a rule list, and association rules over URL tokens mined by FP-growth for what the list leaves open.
 
 Everything on the main path is a DataFrame expression. The list is a CASE over its rules, longest first. FP-growth's
-transactions are labelled URLs: their tokens with the label. Mined rules that end in `block` are kept from `min_support`
-and `min_confidence` on, and without those that a shorter rule of at least the same confidence makes superfluous; a URL
-that no kept rule matches is allowed. Rules match by an inverted index (token to rules) inside each row: no shuffle, so
+transactions are labelled URLs: their tokens with the label. Mined rules that end in a verdict are kept from `min_support`
+and `min_confidence` on, and without those that a shorter rule of at least the same confidence makes superfluous; the
+surest rule that matches decides, and a URL that none matches is allowed. Rules match by an inverted index (token to rules) inside each row: no shuffle, so
 a host with a third of all URLs costs nothing extra.
 
 Defined results: a null URL or one without `://` has empty host and path, no list rule and no tokens, and is allowed.
@@ -13,6 +13,10 @@ are, but for earlier columns named host, path, rule, verdict or matched_by, whic
 
 from __future__ import annotations
 
+import itertools
+import json
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rule list of the query: (verdict, host, path).
 LIST = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: FP-growth: the share of labelled URLs that a combination must have, and of these the share with the verdict.
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: FP-growth: the share of labelled URLs that have a rule's tokens and verdict, the least number of them, and the share with
+#: the verdict of those that have the tokens.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_URLS = 0.002, 0.6, 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -53,36 +58,51 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     ))
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE) -> list[tuple[list[str], str, float, float]]:
-    """labelled: (tokens, verdict). Rules (tokens, verdict, confidence, support) for block; the support bounds their number.
+def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_urls=MIN_URLS) -> list[tuple[list[str], str, float, float]]:
+    """labelled: (tokens, verdict). Rules (tokens, verdict, confidence, support), the surest first, then the best supported.
 
-    All rows are mined: FP-growth's trees hold equal lists of tokens once, so their size follows the distinct lists."""
-    if labelled.isEmpty():
+    All rows are mined: FP-growth's trees hold equal lists of tokens once, so their size follows the distinct lists. Of
+    tokens that the same URLs have, one enters, so that tokens that always come together don't multiply the combinations.
+    A rule is held by min_support of the URLs and min_urls of them, so tokens_a_url / min_support bounds the tokens that
+    are met on the driver."""
+    n = labelled.count()
+    if not n:
+        return []
+    least = max(min_urls, math.ceil(min_support * n))
+    row = F.xxhash64("tokens").cast("decimal(38,0)")
+    frequent = labelled.select(F.explode("tokens").alias("t"), row.alias("row")).groupBy("t").agg(F.count("*").alias("n"), F.sum("row").alias("rows")).where(F.col("n") >= least)
+    entering = [r.t for r in frequent.groupBy("n", "rows").agg(F.min("t").alias("t")).collect()]
+    if not entering:
         return []
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.col("consequent")[0] == "=block") & ~F.exists("antecedent", lambda x: x.startswith("=")))
+    items = F.array_append(F.filter("tokens", lambda t: t.isin(entering)), F.concat(F.lit("="), "verdict"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(labelled.select(items.alias("items")))
+    found = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = sorted(((sorted(r.antecedent), r.consequent[0][1:], r.confidence, r.support) for r in found.collect()), key=lambda r: (len(r[0]), -r[2], r[0], r[1]))
-    kept_rules: list = []
+    shorter: dict[frozenset, tuple[str, float]] = {}
+    kept = []
     for r in rules:
-        if not any(k[1] == r[1] and k[2] >= r[2] and set(k[0]) <= set(r[0]) for k in kept_rules):
-            kept_rules.append(r)
-    return kept_rules
+        own = frozenset(r[0])
+        parts = (shorter.get(frozenset(c)) for k in range(1, len(own)) for c in itertools.combinations(r[0], k))
+        if not any(p and p[0] == r[1] and p[1] >= r[2] for p in parts):
+            kept.append(r)
+            shorter[own] = r[1], r[2]
+    return sorted(kept, key=lambda r: (-r[2], -r[3], r[1] != "block", r[0]))
 
 
 def mined_verdict(found: Column, rules) -> Column:
-    """The verdict of the surest matching rule (then the better supported, then block); null if none matches."""
+    """The verdict of the first rule all of whose tokens a URL has; null if there is none. A token's posting list names its
+    rules; a rule matches if it is named as often as it has tokens, so only the rules of a URL's own tokens are looked at."""
     if not rules:
         return F.lit(None).cast("string")
     posting: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         for t in r[0]:
             posting.setdefault(t, []).append(i)
-    index = F.create_map(*[x for t, at in sorted(posting.items()) for x in (F.lit(t), F.array(*map(F.lit, at)))])
+    index = F.from_json(F.lit(json.dumps(posting)), "map<string,array<int>>")
+    size, verdicts = (F.from_json(F.lit(json.dumps(x)), f"array<{kind}>") for x, kind in (([len(r[0]) for r in rules], "int"), ([r[1] for r in rules], "string")))
     hits = F.flatten(F.transform(F.filter(found, lambda t: F.map_contains_key(index, t)), lambda t: F.element_at(index, t)))
-    heads = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s"), F.lit(v).alias("v"), F.lit(i).alias("i"), F.lit(len(a)).alias("n")) for i, (a, v, c, s) in enumerate(rules)])
-    whole = F.filter(heads, lambda r: F.size(F.filter(hits, lambda h: h == r["i"])) == r["n"])
-    return F.array_max(whole)["v"]
+    whole = F.filter(F.array_distinct(hits), lambda i: F.size(F.filter(hits, lambda h: h == i)) == F.get(size, i))
+    return F.get(verdicts, F.array_min(whole))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, url_col: str = "url", rules=LIST, **mining) -> DataFrame:

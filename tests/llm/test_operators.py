@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, flac, html_text, language, pieces, quality, sharding, simhash, substring_dedup, url_rules
 
@@ -406,6 +407,28 @@ def test_url_rules_are_mined_from_all_labelled_rows(spark):
     assert {r.verdict for r in url_rules.judge(table, many).collect()} == {"block"}
 
 
+def test_url_rules_equal_brute_force(spark):
+    rng = random.Random(18)
+    rows = []
+    for _ in range(200):
+        tokens = sorted(rng.sample(["h:a", "h:b", "p:x", "p:y", "q:z", "q:w"], rng.randint(1, 4)))
+        bad = "p:x" in tokens and "h:a" in tokens or rng.random() < 0.2
+        rows.append((tokens + (["p:same"] if "p:x" in tokens else []), "block" if bad else "allow"))
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01, 0.6, 5)
+    known, every = ["h:a", "h:b", "p:same", "p:y", "q:z", "q:w"], {}  # p:x comes with p:same always, the first of both enters
+    for k in range(1, 6):
+        for c in itertools.combinations(sorted(known), k):
+            having = [v for t, v in rows if set(c) <= set(t)]
+            for v in ("allow", "block"):
+                if (m := having.count(v)) >= 5 and m / len(having) >= 0.6 and not any(every.get((s, v), 0) >= m / len(having) for j in range(1, k) for s in itertools.combinations(c, j)):
+                    every[c, v] = m / len(having)
+    assert {(tuple(r[0]), r[1]): round(r[2], 9) for r in got} == {k: round(x, 9) for k, x in every.items()} and len(got) > 3
+    urls = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(900, []), (901, ["none"])], "i long, t array<string>")
+    found = {r.i: r.v for r in urls.select("i", url_rules.mined_verdict(F.col("t"), got).alias("v")).collect()}
+    for i, t in [*((i, t) for i, (t, _) in enumerate(rows)), (900, []), (901, ["none"])]:
+        assert found[i] == next((r[1] for r in got if set(r[0]) <= set(t)), None)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     say = lambda bad: " ".join("".join(rng.choice("abcde") for _ in range(5)) + ("###" if bad else "") for _ in range(40))
