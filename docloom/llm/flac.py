@@ -6,12 +6,14 @@ of order 0 to 2, and a linear predictor of order LPC_ORDER (Levinson-Durbin on t
 quantised to LPC_BITS); residuals are Rice-coded with one parameter a frame. Headers carry CRC-8, frames CRC-16.
 
 Reading checks the marks, every header's and frame's checksum, the seek table against the frames and the MD5, and undoes
-Rice code and predictors for all frames of all streams of a batch at once, sample by sample. `decode_range` reads some
-samples by the seek table without the rest.
+Rice code and predictors for many frames at once, of all streams of a batch, sample by sample. `decode_range` reads some
+samples by the seek table without the rest. Streams of other encoders go to `flac_reader`. `pcm_blocks` gives a media
+column's samples as rows of PCM with their first sample.
 
 A payload is the text's UTF-8 bytes, then bytes 0 up to a positive multiple of 64. Defined results: a null text is empty
-(64 zero bytes); equal texts give equal streams; very long texts are cut into frames like any other and only bound a
-worker's memory by their own size; repeated rows are stored alike; other columns don't matter.
+(64 zero bytes); equal texts give equal streams; very long texts are coded CHUNK frames at a time, so that beside the text,
+its stream and its samples little is held, and in blocks so large that the seek table holds all frames (512 samples up to
+477 MB, then doubled); repeated rows are stored alike; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import flac_reader
 from .common import in_arrow, runs, utf8
 
 BLOCK, LPC_ORDER, LPC_BITS, LPC_SHIFT_MAX, RATE, PAD = 512, 4, 10, 9, 8000, 64
 CONSTANT, VERBATIM, FIXED, LPC = 0, 1, 8, 32  # subframe types of the format
+#: Frames coded at once, and seek points that the table's length can tell.
+CHUNK, MAX_POINTS = 1024, ((1 << 24) - 1) // 18
 SCHEMA = "id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, media_bytes long, media_sha256 string, feature string"
 
 
@@ -65,14 +70,20 @@ def _number(n: int) -> bytes:
     return bytes([(0xFF00 >> k) & 0xFF | n >> (6 * (k - 1)), *[0x80 | (n >> (6 * j)) & 0x3F for j in range(k - 2, -1, -1)]])
 
 
-def _headers(count: int, last: int) -> list[bytes]:
-    """Frame headers without CRC: fixed block size, 8 kHz, mono, 8 bits."""
-    size = lambda n: (0x9, b"") if n == BLOCK else (0x7, (n - 1).to_bytes(2, "big"))
-    out = []
-    for k in range(count):
-        code, extra = size(BLOCK if k + 1 < count else last)
-        out.append(bytes([0xFF, 0xF8, code << 4 | 0x4, 0x02]) + _number(k) + extra)
-    return out
+def block_of(size: int) -> int:
+    """Samples in a frame of a stream of this size: so many that the seek table can hold a point for each frame."""
+    block = BLOCK
+    while -(-size // block) > MAX_POINTS:
+        block *= 2
+    return block
+
+
+def _headers(first: int, count: int, n: int, block: int) -> list[bytes]:
+    """Headers of frames of n samples without CRC, numbered from `first`: 8 kHz, mono, 8 bits."""
+    code, extra = (block.bit_length() - 1, b"") if n == block else (0x7, (n - 1).to_bytes(2, "big"))
+    if n == block and block > 1 << 15:
+        code, extra = 0x7, (n - 1).to_bytes(2, "big")
+    return [bytes([0xFF, 0xF8, code << 4 | 0x4, 0x02]) + _number(k) + extra for k in range(first, first + count)]
 
 
 def _levinson(x: np.ndarray, order: int) -> np.ndarray:
@@ -183,63 +194,74 @@ def _encode_frames(x: np.ndarray, headers: list[bytes]) -> tuple[np.ndarray, np.
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload of 1 byte or more; a byte is the sample byte - 128."""
-    full, tails = [], {}
-    for k, p in enumerate(payloads):
-        n = len(p) // BLOCK
-        full.append(n)
-        if len(p) % BLOCK:
-            tails.setdefault(len(p) % BLOCK, []).append(k)
-    heads = [_headers(-(-len(p) // BLOCK), len(p) % BLOCK or BLOCK) for p in payloads]
-    frames: list[list[bytes]] = [[] for _ in payloads]
-
-    def add(x: bytes, n: int, owners: list[int], headers: list[bytes]) -> None:
-        data, sizes = _encode_frames(np.frombuffer(x, np.uint8).reshape(-1, n).astype(np.int32) - 128, headers)
-        raw, ends = data.tobytes(), np.cumsum(sizes).tolist()
-        for k, a, b in zip(owners, [0, *ends], ends):
-            frames[k].append(raw[a:b])
-
-    if any(full):
-        add(b"".join(p[: n * BLOCK] for p, n in zip(payloads, full)), BLOCK, [k for k, n in enumerate(full) for _ in range(n)], [h for hs, n in zip(heads, full) for h in hs[:n]])
-    for n, of in tails.items():
-        add(b"".join(payloads[k][-n:] for k in of), n, of, [heads[k][-1] for k in of])
+    jobs: dict[int, list[tuple[int, int, int]]] = {}  # samples in a frame -> (payload, first frame, frames)
+    blocks = [block_of(len(p)) for p in payloads]
+    for k, (p, block) in enumerate(zip(payloads, blocks)):
+        for first in range(0, len(p) // block, CHUNK):
+            jobs.setdefault(block, []).append((k, first, min(CHUNK, len(p) // block - first)))
+        if len(p) % block:
+            jobs.setdefault(len(p) % block, []).append((k, len(p) // block, 1))
+    frames: list[list[tuple[int, bytes, list[int]]]] = [[] for _ in payloads]
+    for n, todo in jobs.items():
+        at = 0
+        while at < len(todo):
+            own, size = [], 0
+            while at < len(todo) and (not own or size + todo[at][2] <= max(1, CHUNK * BLOCK // n)):
+                own.append(todo[at])
+                size += todo[at][2]
+                at += 1
+            x = b"".join([payloads[k][f * blocks[k] : f * blocks[k] + c * n] for k, f, c in own])
+            headers = [h for k, f, c in own for h in _headers(f, c, n, blocks[k])]
+            data, sizes = _encode_frames(np.frombuffer(x, np.uint8).reshape(-1, n).astype(np.int32) - 128, headers)
+            raw, ends, done = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)]).tolist(), 0
+            for k, f, c in own:
+                frames[k].append((f, raw[ends[done] : ends[done + c]], sizes[done : done + c].tolist()))
+                done += c
     out = []
-    for p, own in zip(payloads, frames):
-        sizes = [len(f) for f in own]
-        info = BLOCK.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(bytes(p).translate(_SIGNED)).digest()
-        points, at = [], 0
-        for k, s in enumerate(sizes):
-            points.append((k * BLOCK).to_bytes(8, "big") + at.to_bytes(8, "big") + min(BLOCK, len(p) - k * BLOCK).to_bytes(2, "big"))
-            at += s
-        seek = b"".join(points)
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(own))
+    for k, (p, block) in enumerate(zip(payloads, blocks)):
+        own, frames[k] = sorted(frames[k]), []
+        sizes = np.array([x for _, _, part in own for x in part], np.int64)
+        info = block.to_bytes(2, "big") * 2 + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
+        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + _md5(p)
+        points = np.zeros(len(sizes), _POINT)
+        points["sample"] = np.arange(len(sizes)) * block
+        points["offset"], points["n"] = np.cumsum(sizes) - sizes, np.minimum(block, len(p) - np.arange(len(sizes)) * block)
+        out.append(b"".join([b"fLaC\x00", len(info).to_bytes(3, "big"), info, b"\x83", (18 * len(points)).to_bytes(3, "big"), points.tobytes(), *(raw for _, raw, _ in own)]))
     return out
 
 
+def _md5(payload: bytes) -> bytes:
+    digest = hashlib.md5()
+    for k in range(0, len(payload), 1 << 20):
+        digest.update(payload[k : k + (1 << 20)].translate(_SIGNED))
+    return digest.digest()
+
+
 _SIGNED = bytes((b - 128) & 255 for b in range(256))
 _POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
 
 
-def _open(media: bytes) -> tuple[int, bytes, np.ndarray, int]:
-    """(samples, MD5, seek points, where frames begin)."""
-    if media[:4] != b"fLaC":
-        raise ValueError("not a FLAC stream")
-    at, total, md5, points, last = 4, 0, b"", np.zeros(0, _POINT), False
+class Other(ValueError):
+    """A stream that another encoder may have made."""
+
+
+def _open(media: bytes) -> tuple[int, bytes, np.ndarray, int, int]:
+    """(samples, MD5, seek points, where frames begin, samples in a frame)."""
+    info = flac_reader.stream_info(media)
+    at, last, points = 4, False, np.zeros(0, _POINT)
     while not last:
         last, kind, size = bool(media[at] & 128), media[at] & 127, int.from_bytes(media[at + 1 : at + 4], "big")
-        body = media[at + 4 : at + 4 + size]
-        if kind == 0:
-            total, md5 = int.from_bytes(body[10:18], "big") & (1 << 36) - 1, body[18:34]
-        elif kind == 3:
-            points = np.frombuffer(body, _POINT)
+        if kind == 3 and not size % 18:
+            points = np.frombuffer(media[at + 4 : at + 4 + size], _POINT)
         at += 4 + size
-    if total != int(points["n"].sum()) or len(points) and (points["sample"][1:] != np.cumsum(points["n"].astype(np.int64))[:-1]).any():
-        raise ValueError("the seek table doesn't cover the samples")
-    return total, md5, points, at
+    total, block = info["total"], info["block"]
+    if (info["bits"], info["channels"]) != (8, 1) or not block or total != int(points["n"].astype(np.int64).sum()) or (points["sample"] != np.arange(len(points)) * block).any() or (np.diff(points["offset"].astype(np.int64)) <= 0).any():
+        raise Other("the seek table doesn't cover the samples")
+    return total, info["md5"], points, at, block
 
 
-def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Samples (rows of BLOCK, rest 0) of frames at `starts`; every checksum and header is checked."""
+def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, numbers: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Samples (rows of `block`, rest 0) of frames at `starts`; every checksum and header is checked."""
     rows = len(starts)
     crc = _crcs(data, starts, sizes, 16)
     if crc.any():
@@ -253,17 +275,21 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, coun
         number = np.where(long > k, number << 6 | data[np.minimum(starts + 4 + k, len(data) - 1)] & 0x3F, number)
     short = (byte(2) >> 4) == 7
     head = 4 + long + 2 * short
-    n = np.where(short, (data[starts + 4 + long].astype(np.int64) << 8 | data[starts + 5 + long]) + 1, BLOCK)
-    if (byte(0) != 0xFF).any() or (byte(1) != 0xF8).any() or (number != numbers).any() or (n != counts).any() or (_crcs(data, starts, head + 1, 8) != 0).any():
+    n = np.where(short, (data[starts + 4 + long].astype(np.int64) << 8 | data[starts + 5 + long]) + 1, block)
+    if (byte(1) != 0xF8).any() or ((byte(2) >> 4) != np.where(short, 7, block.bit_length() - 1)).any() or (byte(3) != 0x02).any():
+        raise Other("another kind of frame")
+    if (byte(0) != 0xFF).any() or (number != numbers).any() or (n != counts).any() or (_crcs(data, starts, head + 1, 8) != 0).any():
         raise ValueError("a frame's header is wrong")
     kind = data[starts + head + 1].astype(np.int64) >> 1
-    out, first = np.zeros((rows, BLOCK), np.int64), starts + head + 2
+    if (data[starts + head + 1] & 1).any() or not np.isin(kind, [CONSTANT, VERBATIM, FIXED, FIXED + 1, FIXED + 2, LPC + LPC_ORDER - 1]).all():
+        raise Other("another subframe")
+    out, first = np.zeros((rows, block), np.int64), starts + head + 2
     signed = lambda v, w: v - ((v >> (w - 1)) << w)
     one = kind == CONSTANT
-    out[one] = np.where(np.arange(BLOCK) < n[one, None], signed(data[first[one]].astype(np.int64), 8)[:, None], 0)
+    out[one] = np.where(np.arange(block) < n[one, None], signed(data[first[one]].astype(np.int64), 8)[:, None], 0)
     if (plain := np.nonzero(kind == VERBATIM)[0]).size:
-        at = np.minimum(first[plain, None] + np.arange(BLOCK), len(data) - 1)
-        out[plain] = np.where(np.arange(BLOCK) < n[plain, None], signed(data[at].astype(np.int64), 8), 0)
+        at = np.minimum(first[plain, None] + np.arange(block), len(data) - 1)
+        out[plain] = np.where(np.arange(block) < n[plain, None], signed(data[at].astype(np.int64), 8), 0)
     of = np.nonzero(kind >= FIXED)[0]
     if not of.size:
         return out
@@ -280,7 +306,7 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, coun
     lpc = kind[of] >= LPC
     order = np.where(lpc, kind[of] - LPC + 1, kind[of] - FIXED)
     at, most = first[of] * 8, int(order.max())
-    x = np.zeros((len(of), BLOCK + most), np.int64)  # `most` zeros stand before the samples
+    x = np.zeros((len(of), block + most), np.int64)  # `most` zeros stand before the samples
     for j in range(most):
         have = order > j
         x[have, most + j] = signed(take(at[have], 8), 8)
@@ -291,7 +317,7 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, coun
         coef[rows_k, :k] = c[:-1]
     if lpc.any():
         if (take(at[lpc], 4) != LPC_BITS - 1).any():
-            raise ValueError("unknown precision of a predictor")
+            raise Other("another precision of a predictor")
         shift[lpc] = take(at[lpc] + 4, 5)
         at[lpc] += 9
         for j in range(most):
@@ -300,13 +326,15 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, coun
             at[have] += LPC_BITS
     head10 = take(at, 10)
     if (head10 >> 4).any():
-        raise ValueError("unknown residual coding")
+        raise Other("another residual code")
+    if (head10 == 15).any():
+        raise Other("escaped residuals")
     par, at, n_of = head10 & 15, at + 10, n[of]
     upar = par.astype(np.uint64)
     coef_t = np.ascontiguousarray(coef.T)
     xt = np.ascontiguousarray(x.T)  # a row a sample, so that each step works on contiguous memory
-    live = np.searchsorted(-n_of, -np.arange(BLOCK), side="left")
-    for t in range(BLOCK):
+    live = np.searchsorted(-n_of, -np.arange(block), side="left")
+    for t in range(block):
         m = int(live[t])
         if not m:
             break
@@ -349,46 +377,111 @@ def _long_zeros(peek, pos: np.ndarray, q: np.ndarray) -> np.ndarray:
     return q + skipped
 
 
+def _samples(media: bytes, head: tuple[int, bytes, np.ndarray, int, int], i: int, j: int) -> Iterator[bytes]:
+    """The payload's bytes in frames i to j - 1 of a stream, some frames at a time."""
+    _, _, points, at, block = head
+    step = max(1, CHUNK * BLOCK // block)
+    for a in range(i, j, step):
+        b = min(j, a + step)
+        begin = points["offset"][a:b].astype(np.int64)
+        end = int(points["offset"][b]) if b < len(points) else len(media) - at
+        yield _flat(media[at + int(begin[0]) : at + end], begin - begin[0], np.append(begin[1:], end) - begin, points["n"][a:b].astype(np.int64), np.arange(a, b), block)
+
+
+def _flat(raw: bytes, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, numbers: np.ndarray, block: int) -> bytes:
+    samples = _decode_frames(np.frombuffer(raw, np.uint8), starts, sizes, counts, numbers, block)
+    return (samples + 128).astype(np.uint8)[np.arange(block) < counts[:, None]].tobytes()
+
+
 def decode(media: list[bytes]) -> list[bytes]:
-    """The payloads of streams; raises ValueError where a checksum or the seek table is wrong."""
-    heads = [_open(m) for m in media]
-    offset = np.cumsum([0, *map(len, media)])
-    starts = np.concatenate([o + at + p["offset"].astype(np.int64) for o, (_, _, p, at) in zip(offset, heads)]) if media else np.zeros(0, np.int64)
-    ends = np.concatenate([np.append(starts_[1:], o + len(m)) for o, m, starts_ in zip(offset, media, (o + at + p["offset"].astype(np.int64) for o, (_, _, p, at) in zip(offset, heads)))]) if media else starts
-    counts = np.concatenate([p["n"].astype(np.int64) for _, _, p, _ in heads]) if media else starts
-    numbers = np.concatenate([p["sample"].astype(np.int64) // BLOCK for _, _, p, _ in heads]) if media else starts
-    samples = _decode_frames(np.frombuffer(b"".join(media), np.uint8), starts, ends - starts, counts, numbers)
-    flat = (samples + 128).astype(np.uint8)[np.arange(BLOCK) < counts[:, None]].tobytes()
-    out, at = [], 0
-    for total, md5, _, _ in heads:
-        payload = flat[at : at + total]
-        if hashlib.md5(payload.translate(_SIGNED)).digest() != md5:
+    """The payloads of 8-bit mono streams; raises ValueError where a checksum or the samples' digest is wrong."""
+    try:
+        heads = [_open(m) for m in media]
+        if all(len(h[2]) <= CHUNK and h[4] == BLOCK for h in heads):
+            out = _decode_together(media, heads)
+        else:
+            out = [b"".join(_samples(m, h, 0, len(h[2]))) for m, h in zip(media, heads)]
+    except Other:
+        if len(media) > 1:
+            return [decode([m])[0] for m in media]
+        samples, info = flac_reader.read(media[0])
+        if (info["bits"], info["channels"]) != (8, 1):
+            raise ValueError("a payload is stored as 8-bit mono samples") from None
+        return [(samples[0] + 128).astype(np.uint8).tobytes()]
+    for payload, head in zip(out, heads):
+        if len(payload) != head[0] or _md5(payload) != head[1]:
             raise ValueError("the samples' MD5 is wrong")
-        out.append(payload)
-        at += total
+    return out
+
+
+def _decode_together(media: list[bytes], heads: list) -> list[bytes]:
+    """Short streams, as many at once as have CHUNK frames."""
+    out, i = [], 0
+    while i < len(media):
+        j, frames = i, 0
+        while j < len(media) and (j == i or frames + len(heads[j][2]) <= CHUNK):
+            frames, j = frames + len(heads[j][2]), j + 1
+        parts = [m[h[3] :] for m, h in zip(media[i:j], heads[i:j])]
+        offset = np.cumsum([0, *map(len, parts)])
+        starts = np.concatenate([o + h[2]["offset"].astype(np.int64) for o, h in zip(offset, heads[i:j])])
+        ends = np.append(starts[1:], offset[-1])
+        counts = np.concatenate([h[2]["n"].astype(np.int64) for h in heads[i:j]])
+        flat, at = _flat(b"".join(parts), starts, ends - starts, counts, np.concatenate([np.arange(len(h[2])) for h in heads[i:j]]), BLOCK), 0
+        for h in heads[i:j]:
+            out.append(flat[at : at + h[0]])
+            at += h[0]
+        i = j
     return out
 
 
 def decode_range(media: bytes, first: int, last: int) -> bytes:
     """Samples first to last - 1 of a stream, from the frames that hold them alone."""
-    total, _, p, at = _open(media)
+    head = _open(media)
+    total, block = head[0], head[4]
     last = min(last, total)
     if first >= last:
         return b""
-    i, j = first // BLOCK, (last - 1) // BLOCK + 1
-    starts = at + p["offset"].astype(np.int64)
-    ends = np.append(starts[1:], len(media))
-    counts = p["n"][i:j].astype(np.int64)
-    samples = _decode_frames(np.frombuffer(media, np.uint8), starts[i:j], (ends - starts)[i:j], counts, np.arange(i, j))
-    flat = (samples + 128).astype(np.uint8)[np.arange(BLOCK) < counts[:, None]].tobytes()
-    return flat[first - i * BLOCK : last - i * BLOCK]
+    i, j = first // block, (last - 1) // block + 1
+    return b"".join(_samples(media, head, i, j))[first - i * block : last - i * block]
+
+
+def pcm_blocks(rows: DataFrame, id_col: str = "id", media_col: str = "media", size: int = 1 << 16) -> DataFrame:
+    """(id, block, first_sample, n_samples, rate, channels, bits, pcm): the samples of a media column of FLAC streams of any
+    encoder, `size` a row; `pcm` is interleaved and little-endian. A null stream has no rows; a broken one raises."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "block", "first_sample", "n_samples", "rate", "channels", "bits", "pcm"]
+        for batch in batches:
+            for k, media in enumerate(batch.column(1)):
+                if not media.is_valid:
+                    continue
+                own = batch.column(0).slice(k, 1)
+                data = media.as_py()
+                info = flac_reader.stream_info(data)
+                try:
+                    (whole,) = decode([data]) if (info["bits"], info["channels"]) == (8, 1) else (None,)
+                    whole = whole.translate(_SIGNED) if whole is not None else flac_reader.pcm(flac_reader.read(data)[0], info["bits"])
+                except IndexError as e:
+                    raise ValueError("the stream ends in a frame") from e
+                step = info["channels"] * ((info["bits"] + 7) // 8)
+                n = len(whole) // step
+                for b, first in enumerate(range(0, n, size)):
+                    m = min(size, n - first)
+                    values = (b, first, m, info["rate"], info["channels"], info["bits"])
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array([v], pa.int64()) for v in values), pa.array([whole[first * step : (first + m) * step]], pa.binary())], names)
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).transform(in_arrow, cut, f"id {kind}, block long, first_sample long, n_samples long, rate long, channels long, bits long, pcm binary")
 
 
 def feature(payload: bytes) -> str:
     """Whole-number statistics of the samples as read back: mean and power in thousandths, zero crossings, peak."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-    return f"mean={int(x.sum()) * 1000 // len(x)};power={int((x * x).sum()) * 1000 // len(x)};cross={crossings};peak={int(np.abs(x).max())}"
+    total = power = crossings = peak = 0
+    for k in range(0, len(payload), 1 << 18):
+        x = np.frombuffer(payload[max(0, k - 1) : k + (1 << 18)], np.uint8).astype(np.int64) - 128
+        crossings += int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
+        x = x[min(k, 1) :]
+        total, power, peak = total + int(x.sum()), power + int((x * x).sum()), max(peak, int(np.abs(x).max()))
+    return f"mean={total * 1000 // len(payload)};power={power * 1000 // len(payload)};cross={crossings};peak={peak}"
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
@@ -396,12 +489,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts, ends = utf8(batch.column(1))
-            for i, j in runs(starts, ends, 1 << 20):
-                texts = [data[a:b].tobytes() for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]
-                media = encode([t.ljust(max(PAD, -(-len(t) // PAD) * PAD), b"\0") for t in texts])
+            for i, j in runs(starts, ends, 1 << 19):
+                sizes = (ends[i:j] - starts[i:j]).tolist()
+                media = encode([data[a:b].tobytes().ljust(max(PAD, -(-(b - a) // PAD) * PAD), b"\0") for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())])
                 back = decode(media)
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch.column(0).slice(i, j - i), "n_bytes": pa.array(map(len, texts), pa.int64()), "payload_bytes": pa.array(map(len, back), pa.int64()),
+                    "id": batch.column(0).slice(i, j - i), "n_bytes": pa.array(sizes, pa.int64()), "payload_bytes": pa.array(map(len, back), pa.int64()),
                     "payload_sha256": [hashlib.sha256(b).hexdigest() for b in back], "tail_crc32": pa.array([zlib.crc32(b[-PAD:]) for b in back], pa.int64()),
                     "media": pa.array(media if keep_media else [None] * len(media), pa.binary()), "media_bytes": pa.array(map(len, media), pa.int64()),
                     "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": list(map(feature, back)),
