@@ -249,28 +249,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, reach: int = 0) -> DataFram
             fps = np.concatenate([_numpy(p.columns[3:]) for p in parts])
             return _forest(fps[home], fps[~home], max(radius, reach))
 
-        def joined(held: list) -> pa.RecordBatch:
-            """One forest for several shards': a large family has nearly the same links in each of them."""
-            u, v = (np.concatenate(x) for x in zip(*held))
-            nodes, at = np.unique(np.concatenate([u, v]), axis=0, return_inverse=True) if lanes > 1 else _unique(np.concatenate([u, v]))
-            parent = np.arange(len(nodes))
-            _union(parent, at[: len(u)], at[len(u) :])
-            moved = np.nonzero(parent != np.arange(len(nodes)))[0]
-            return pa.RecordBatch.from_arrays([*_arrow(nodes[moved]), *_arrow(nodes[parent[moved]])], ends)
-
-        held, size = [], 0
-        for pair in by_group(batches, 2, done):
-            held.append(pair)
-            size += len(pair[0])
-            if size > 200_000:
-                yield joined(held)
-                held, size = [], 0
-        if held:
-            yield joined(held)
+        yield from _joined(by_group(batches, 2, done), ends)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _joined(((_numpy(b.columns[:lanes]), _numpy(b.columns[lanes:])) for b in batches), ends)
 
     shards = distinct.select(names).transform(in_arrow, deal, f"leaf int, cell int, home boolean, {_schema(names)}")
     met = shards.repartition(partitions(spark), "leaf", "cell").sortWithinPartitions("leaf", "cell").transform(in_arrow, meet, _schema(ends))
-    return met.distinct()
+    # a family that many tasks met has a tree from each; where a member's links meet, they join those trees into one
+    return met.repartition(partitions(spark), *ends[:lanes]).transform(in_arrow, again, _schema(ends)).distinct()
+
+
+def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]], ends: list[str], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """One forest (member, least member) for the links of several shards, or for `most` links at a time."""
+    def forest() -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([u, v]), axis=0, return_inverse=True) if u.shape[1] > 1 else _unique(np.concatenate([u, v]))
+        parent = np.arange(len(nodes))
+        _union(parent, at[: len(u)], at[len(u) :])
+        moved = np.nonzero(parent != np.arange(len(nodes)))[0]
+        return pa.RecordBatch.from_arrays([*_arrow(nodes[moved]), *_arrow(nodes[parent[moved]])], ends)
+
+    held, size = [], 0
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
+        if size > most:
+            yield forest()
+            held, size = [], 0
+    if held:
+        yield forest()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
