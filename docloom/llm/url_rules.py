@@ -100,9 +100,10 @@ def mined_verdict(found: Column, rules) -> Column:
             posting.setdefault(t, []).append(i)
     index = F.from_json(F.lit(json.dumps(posting)), "map<string,array<int>>")
     size, verdicts = (F.from_json(F.lit(json.dumps(x)), f"array<{kind}>") for x, kind in (([len(r[0]) for r in rules], "int"), ([r[1] for r in rules], "string")))
-    hits = F.flatten(F.transform(F.filter(found, lambda t: F.map_contains_key(index, t)), lambda t: F.element_at(index, t)))
-    whole = F.filter(F.array_distinct(hits), lambda i: F.size(F.filter(hits, lambda h: h == i)) == F.get(size, i))
-    return F.get(verdicts, F.array_min(whole))
+    hits = F.array_sort(F.flatten(F.filter(F.transform(found, lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull())))
+    # sorted, so a rule's last token is where the place as many back as it has tokens names it too
+    last = F.transform(F.array(hits), lambda h: F.array_min(F.filter(h, lambda i, at: F.get(h, at - F.get(size, i) + 1) == i)))
+    return F.get(verdicts, F.get(last, F.lit(0)))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, url_col: str = "url", rules=LIST, **mining) -> DataFrame:
